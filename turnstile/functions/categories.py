@@ -16,6 +16,9 @@ from ..operators.joins import broadcast_if_small
 from ..operators.ordered import row_number
 
 
+_LEVELS_SCHEMA = "column string, level string, code int"
+
+
 def _long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns]
     return df.select(F.explode(F.array(*pairs)).alias("_p")).select("_p.column", "_p.level")
@@ -23,6 +26,8 @@ def _long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def sorted_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """F8 ``as.factor``: distinct non-NULL values in sorted order, code 1.."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], _LEVELS_SCHEMA)
     distinct = _long_values(df, columns).where(F.col("level").isNotNull()).distinct()
     ranked = row_number(distinct, [F.col("level").asc()], ["column"], out="code")
     return ranked.select("column", "level", F.col("code").cast("int").alias("code"))

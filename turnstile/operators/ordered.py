@@ -55,9 +55,6 @@ def _local_scan(partition_by: list[str], sums: dict[str, str], fills: dict[str,
     """Per-partition pandas scan; state carries across Arrow batches."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
         have_carry = False
         carry_key: tuple = ()
         carry_rn = 0
@@ -83,7 +80,6 @@ def _local_scan(partition_by: list[str], sums: dict[str, str], fills: dict[str,
             seg = change.astype("int64").cumsum()
             cont = (seg == 0).to_numpy()
             out = pdf.copy()
-            out["_pid"] = pid
             out["_lrn"] = range(pos, pos + m)
             pos += m
             rn = pdf.groupby(seg, sort=False).cumcount().to_numpy() + 1
@@ -131,7 +127,10 @@ def ordered_scan(df: DataFrame, order_by: OrderSpec, partition_by: Sequence[str]
     rn_col = row_number or "_rn_tmp"
     n = _num_partitions(df, num_partitions)
     sort_exprs = [F.col(p).asc_nulls_first() for p in partition_by] + _sort_exprs(order_by)
-    ranged = df.repartitionByRange(n, *sort_exprs).sortWithinPartitions(*sort_exprs)
+    # The partition id is taken from the range-partitioned data itself
+    # (``spark_partition_id``); a task id would be wrong under a union.
+    ranged = (df.repartitionByRange(n, *sort_exprs).sortWithinPartitions(*sort_exprs)
+              .withColumn("_pid", F.spark_partition_id()))
 
     schema = df.schema
     fields = list(schema.fields) + [T.StructField("_pid", T.IntegerType(), False),

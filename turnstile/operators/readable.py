@@ -88,6 +88,19 @@ def parse_definitions(sheet: DataFrame) -> DataFrame:
                          F.col("level_order").cast("int").alias("level_order"))
 
 
+MAX_DEFINITION_ROWS = 100_000
+
+
+def _materialize_small(definitions: DataFrame) -> DataFrame:
+    """The parsed definitions are a lookup table (one row per code); it is
+    materialised once so the per-column joins do not recompute its lineage.
+    Its size is checked first."""
+    rows = definitions.limit(MAX_DEFINITION_ROWS + 1).collect()
+    if len(rows) > MAX_DEFINITION_ROWS:
+        raise ValueError("definitions table is larger than a lookup table should be")
+    return definitions.sparkSession.createDataFrame(rows, definitions.schema)
+
+
 def process_readable(hr: DataFrame, definitions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """D7 ``process_hr_data_readable``: decoded table + its levels table.
 
@@ -96,6 +109,7 @@ def process_readable(hr: DataFrame, definitions: DataFrame) -> tuple[DataFrame,
     every string column's level codes (decoded columns in sheet order,
     BusinessTravel/MaritalStatus relevelled, the rest sorted).
     """
+    definitions = _materialize_small(definitions)
     names = [r[0] for r in definitions.select("column_name").distinct().collect()]
     names = sorted(n for n in names if n in hr.columns)
     out = hr
