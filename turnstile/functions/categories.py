@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import broadcast_if_small
-from ..operators.ordered import row_number
+from ..operators.joins import broadcast_if_small, materialize_lookup
+from ..operators.ordered import lookup_row_number as row_number
 
 
 _LEVELS_SCHEMA = "column string, level string, code int"
@@ -52,7 +52,9 @@ def relevel(levels: DataFrame, column: str, first: Sequence[str]) -> DataFrame:
     mine = levels.where(F.col("column") == column).withColumn("_k", pos)
     ranked = row_number(mine, [F.col("_k").asc(), F.col("code").asc()], ["column"], out="_new")
     ranked = ranked.select("column", "level", F.col("_new").cast("int").alias("code"))
-    return levels.where(F.col("column") != column).unionByName(ranked)
+    out = levels.where(F.col("column") != column).unionByName(ranked)
+    small = materialize_lookup(out)
+    return small if small is not None else out
 
 
 def reverse_levels(levels: DataFrame) -> DataFrame:

@@ -45,3 +45,18 @@ def fold_left_joins(base: DataFrame, lookups: Iterable[tuple[DataFrame, str]],
         out = out.withColumn(key, F.col(key).cast(key_type))
         out = out.join(broadcast_if_small(lk, max_rows), on=key, how="left")
     return out
+
+
+# Lookup tables (levels, definitions, per-column summaries) are bounded by the
+# number of distinct category values, not by the data.  They are materialised
+# once after a size check, which also cuts their lineage so later size checks
+# and joins do not recompute the scan that produced them.
+LOOKUP_MAX_ROWS = 100_000
+
+
+def materialize_lookup(df: DataFrame, max_rows: int = LOOKUP_MAX_ROWS) -> DataFrame | None:
+    """Materialised copy of ``df`` if it has at most ``max_rows`` rows, else None."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
+    return df.sparkSession.createDataFrame(rows, df.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .joins import broadcast_if_small
+from .joins import broadcast_if_small, materialize_lookup
 
 OrderSpec = Sequence[Column | str]
 
@@ -274,3 +274,17 @@ def average_rank(df: DataFrame, value: str, partition_by: Sequence[str] = (),
         cond = cond & F.col(k).eqNullSafe(F.col(f"_rk_{i}"))
     joined = df.join(ranks, cond, "left")
     return joined.select(*df.columns, out)
+
+
+def lookup_row_number(df: DataFrame, order_by: OrderSpec, partition_by: Sequence[str] = (),
+                      out: str = "row_number") -> DataFrame:
+    """Row numbers for a lookup-sized table (levels, definitions, feature
+    lists).  When the size check passes the table is materialised and ranked
+    with a plain window (bounded by the check); otherwise the distributed
+    ``row_number`` is used."""
+    small = materialize_lookup(df)
+    if small is None:
+        return row_number(df, order_by, partition_by, out=out)
+    w = Window.partitionBy(*partition_by).orderBy(*_sort_exprs(order_by)) if partition_by \
+        else Window.orderBy(*_sort_exprs(order_by))
+    return small.withColumn(out, F.row_number().over(w).cast("long"))

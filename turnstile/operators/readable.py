@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from ..functions.categories import first_seen_levels, relevel, sorted_levels
 from ..functions.labels import replace_first, split_piece
-from .joins import broadcast_if_small
-from .ordered import fill_down, row_number
+from .joins import broadcast_if_small, materialize_lookup
+from .ordered import fill_down, lookup_row_number
 
 # Survey code labels of the HR definitions sheet, per column,
 # in sheet order (block order, then code order).
@@ -77,13 +77,15 @@ def definitions_sheet(hr: DataFrame) -> DataFrame:
 
 def parse_definitions(sheet: DataFrame) -> DataFrame:
     """D6 -> ``(column_name, key double, value string, level_order int)``."""
+    small = materialize_lookup(sheet)
+    sheet = small if small is not None else sheet
     filled = fill_down(sheet, ["row_id"], {"column_name": "c1"})
     rows = filled.where(F.col("c2").isNotNull())
     parsed = rows.select(
         "row_id", "column_name",
         F.expr("try_cast(split_part(c2, \" '\", 1) AS DOUBLE)").alias("key"),
         replace_first(split_piece(F.col("c2"), " '", 2), "'", "").alias("value"))
-    ranked = row_number(parsed, ["row_id"], ["column_name"], out="level_order")
+    ranked = lookup_row_number(parsed, ["row_id"], ["column_name"], out="level_order")
     return ranked.select("column_name", "key", "value",
                          F.col("level_order").cast("int").alias("level_order"))
 
@@ -128,7 +130,9 @@ def process_readable(hr: DataFrame, definitions: DataFrame) -> tuple[DataFrame,
     for col, first in RELEVEL.items():
         if col in strings:
             levels = relevel(levels, col, first)
-    return out, levels.unionByName(decoded_levels)
+    all_levels = levels.unionByName(decoded_levels)
+    small = materialize_lookup(all_levels)
+    return out, small if small is not None else all_levels
 
 
 def readable_people(hr: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -40,4 +40,11 @@ def query(name: str, sql: str | None = None):
 def load_all() -> dict[str, Entry]:
     """Import every query module (registration happens at import)."""
     from . import q_relational, q_domain, q_features, q_evaluation, q_policy, q_models  # noqa: F401
+    q_domain.attach_late_sql()
     return CATALOG
+
+
+def set_sql(name: str, sql: str) -> None:
+    """Attach oracle SQL to an entry registered before the SQL was built."""
+    e = CATALOG[name]
+    CATALOG[name] = Entry(e.name, e.build, sql)
