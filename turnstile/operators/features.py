@@ -221,3 +221,36 @@ def is_numeric_type(dt: T.DataType) -> bool:
 
 def level_feature_names(column: Column, level: Column) -> Column:
     return F.concat(column, F.lit("_"), make_names(level))
+
+
+@dataclass
+class Recipe:
+    """M1 fitted recipe: ``transform`` applies the same steps to any table."""
+    fitted: FittedPrep
+    target: str
+    id_col: str
+    factor_numbers: list[str]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = df.drop(*[c for c in self.fitted.dropped if c in df.columns])
+        out = out.withColumns({c: F.col(c).cast("string") for c in self.factor_numbers if c in out.columns})
+        out = center_scale(out, self.fitted.means, self.fitted.sds)
+        return dummies(out, self.fitted.levels, one_hot=self.fitted.one_hot)
+
+
+def fit_recipe(train: DataFrame, target: str, id_col: str, factor_numbers: Sequence[str] = (),
+               one_hot: bool = False) -> Recipe:
+    """M1 ``recipe(target ~ .) %>% step_zv %>% step_num2factor %>% step_center
+    %>% step_scale %>% step_dummy %>% prep``: every fit is an aggregate over
+    ``train``; the id and the target are not transformed."""
+    predictors = [c for c in train.columns if c not in (target, id_col)]
+    dropped = zero_variance(train, predictors)
+    keep = [c for c in predictors if c not in dropped]
+    factors = [c for c in factor_numbers if c in keep]
+    cast = train.withColumns({c: F.col(c).cast("string") for c in factors})
+    numeric = [c for c in keep if c not in factors and is_numeric_type(cast.schema[c].dataType)]
+    categorical = [c for c in keep if c not in numeric]
+    means, sds = center_scale_params(cast, numeric)
+    levels = category_levels(cast, categorical)
+    return Recipe(FittedPrep(dropped=dropped, means=means, sds=sds, levels=levels, one_hot=one_hot),
+                  target, id_col, list(factors))

@@ -1,3 +1,208 @@
-"""Queries (filled in below)."""
+"""Queries for modelling (L1-L10), model storage (S5-S6) and local
+explanations (X1-X8).  Model-based outputs have no SQL oracle (rows-only)."""
 
-from .registry import query  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import evaluate as ev
+from ..operators import explain as xp
+from ..operators import models as md
+from ..sources.people import attrition_score, people
+from .registry import query
+from .sql import with_ctes
+
+_CACHE: dict[tuple, object] = {}
+
+
+def _key(spark, sf, what):
+    return (spark.sparkContext.applicationId, sf, what)
+
+
+def splits(spark, sf):
+    return md.split_train_test(people(spark, sf))
+
+
+def automl_result(spark, sf) -> md.AutoMLResult:
+    """Train once per session and data folder; later queries reuse it."""
+    k = _key(spark, sf, "automl")
+    if k not in _CACHE:
+        train, test = splits(spark, sf)
+        _CACHE[k] = md.automl(train, test, folds=5)
+    return _CACHE[k]
+
+
+@query("l01_split", with_ctes(
+    f"""SELECT EmployeeNumber, CASE WHEN ((EmployeeNumber % {md.SPLIT_MODULUS}) * {md.SPLIT_MULTIPLIER}
+  + {md.SPLIT_SEED}) % 100 < 85 THEN 'train' ELSE 'test' END AS split FROM hr"""))
+def l01(spark, sf):
+    hr = people(spark, sf).select("EmployeeNumber")
+    b = md.split_bucket("EmployeeNumber")
+    return hr.select("EmployeeNumber", F.when(b < 85, "train").otherwise("test").alias("split"))
+
+
+@query("l02_automl_leaderboard")
+def l02(spark, sf):
+    return automl_result(spark, sf).leaderboard
+
+
+@query("l03_model_families")
+def l03(spark, sf):
+    return automl_result(spark, sf).leaderboard.select("model_type").distinct()
+
+
+@query("l04_stacked_ensemble")
+def l04(spark, sf):
+    return automl_result(spark, sf).leaderboard.where(F.col("model_type") == "StackedEnsemble")
+
+
+@query("l05_leader")
+def l05(spark, sf):
+    return automl_result(spark, sf).leaderboard.where(F.col("position") == 1)
+
+
+@query("l06_leaderboard_long")
+def l06(spark, sf):
+    return md.leaderboard_long(automl_result(spark, sf).leaderboard, "auc")
+
+
+@query("l06_leaderboard_long_logloss")
+def l06b(spark, sf):
+    return md.leaderboard_long(automl_result(spark, sf).leaderboard, "logloss")
+
+
+def _best_single(spark, sf):
+    r = automl_result(spark, sf)
+    board = r.leaderboard.where(F.col("model_type") != "StackedEnsemble")
+    w = Window.orderBy(F.col("auc").desc(), "model_id")  # one row per model
+    mid = md.model_by_position(board.drop("position").withColumn("position", F.row_number().over(w)), 1)
+    return mid, r.models[mid]
+
+
+@query("l07_predict")
+def l07(spark, sf):
+    _, model = _best_single(spark, sf)
+    _, test = splits(spark, sf)
+    return md.predict(model, test)
+
+
+@query("l08_grid_search")
+def l08(spark, sf):
+    train, _ = splits(spark, sf)
+    return md.grid_search_mlp(train, hidden=[[10, 10, 10], [50, 20, 10], [20, 20, 20]], epochs=[10, 50, 100])
+
+
+@query("l09_cross_validation_metrics")
+def l09(spark, sf):
+    return automl_result(spark, sf).leaderboard.select("model_id", "cv_auc", F.col("auc").alias("valid_auc"))
+
+
+@query("l10_model_params")
+def l10(spark, sf):
+    mid, model = _best_single(spark, sf)
+    return md.model_params(model, mid)
+
+
+@query("s05_model_save_load")
+def s05(spark, sf):
+    mid, model = _best_single(spark, sf)
+    path = md.save_model(model, mid, spark)
+    _, test = splits(spark, sf)
+    return md.predict(md.load_model(path), test)
+
+
+@query("s06_model_registry")
+def s06(spark, sf):
+    """Registry of saved models -> load each -> score the test split ->
+    ROC points per model (E8 on stored models)."""
+    r = automl_result(spark, sf)
+    rows = [(mid, md.save_model(m, mid, spark), r.types[mid]) for mid, m in r.models.items()]
+    registry = spark.createDataFrame(rows, "model_id string, path string, family string")
+    _, test = splits(spark, sf)
+    scored_parts = []
+    for row in registry.collect():  # one row per saved model
+        p = md.predict(md.load_model(row["path"]), test).join(test.select("EmployeeNumber", "Attrition"),
+                                                              "EmployeeNumber")
+        scored_parts.append(p.select(F.lit(row["model_id"]).alias("model_id"), "Attrition",
+                                     F.col("Yes").alias("score")))
+    allp = scored_parts[0]
+    for p in scored_parts[1:]:
+        allp = allp.unionByName(p)
+    m = ev.metrics_by_threshold(allp, score="score", by=["model_id"])
+    return m.select("model_id", "threshold", "fpr", "tpr")
+
+
+# ---------------------------------------------------------------- X: explanations
+
+X_NUMERIC = ["YearsAtCompany", "DistanceFromHome", "JobSatisfaction", "Age", "MonthlyIncome", "JobLevel",
+             "WorkLifeBalance"]
+X_CATEGORICAL = ["OverTime"]
+X_FEATURES = X_CATEGORICAL + X_NUMERIC
+N_CASES = 20
+
+
+def _predict(df: DataFrame):
+    return attrition_score(F.col("OverTime"), F.col("YearsAtCompany"), F.col("DistanceFromHome"),
+                           F.col("JobSatisfaction"))
+
+
+def explainer(spark, sf) -> DataFrame:
+    train, _ = splits(spark, sf)
+    return xp.fit_explainer(train.select(*X_FEATURES), X_NUMERIC, X_CATEGORICAL)
+
+
+def explanation(spark, sf) -> DataFrame:
+    k = _key(spark, sf, "explanation")
+    if k not in _CACHE:
+        _, test = splits(spark, sf)
+        # the first N_CASES test employees by id are explained (the feature)
+        head = test.orderBy("EmployeeNumber").limit(N_CASES).select("EmployeeNumber", *X_FEATURES)
+        from ..operators.ordered import row_number
+        cases = row_number(head, ["EmployeeNumber"], out="case", num_partitions=1)
+        ex = xp.explain(cases, explainer(spark, sf), X_FEATURES, _predict, n_permutations=5000,
+                        n_features=8, kernel_width=1.0)
+        _CACHE[k] = ex.checkpoint()  # cut the lineage: later X queries reuse it
+    return _CACHE[k]
+
+
+@query("x01_explainer_fit")
+def x01(spark, sf):
+    return explainer(spark, sf)
+
+
+@query("x02_explain_one_case")
+def x02(spark, sf):
+    return explanation(spark, sf).where(F.col("case") == 5)
+
+
+@query("x03_explain_cases")
+def x03(spark, sf):
+    return explanation(spark, sf)
+
+
+@query("x04_fit_quality")
+def x04(spark, sf):
+    from ..operators.profile import histogram
+    per_case = explanation(spark, sf).select("case", "model_r2").distinct()
+    return histogram(per_case, ["model_r2"])
+
+
+@query("x05_feature_bars")
+def x05(spark, sf):
+    return xp.feature_bars(explanation(spark, sf).where(F.col("case") == 1))
+
+
+@query("x06_tile_order")
+def x06(spark, sf):
+    return xp.tile_order(explanation(spark, sf))
+
+
+@query("x07_mean_weight")
+def x07(spark, sf):
+    return xp.mean_weight(explanation(spark, sf))
+
+
+@query("x08_filter_cases")
+def x08(spark, sf):
+    return explanation(spark, sf).where(F.col("case").isin(list(range(1, 7))))
