@@ -114,7 +114,7 @@ def m08(spark, sf):
 
 @query("m08_one_hot", with_ctes(
     "SELECT EmployeeNumber, " + ", ".join(
-        f"CAST(Department = '{d}' AS INT) AS Department_{d.replace(' ', '.')}"
+        f"CAST(Department = '{d}' AS INT) AS \"Department_{d.replace(' ', '.')}\""
         for d in ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]) + " FROM hr"))
 def m08_one_hot(spark, sf):
     hr = people(spark, sf).select("EmployeeNumber", "Department")
@@ -422,3 +422,11 @@ def d15(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumn("corr", F.round("corr", 6))
+
+
+@query("d11_indicator_correlation", with_ctes(
+    "SELECT feature, round(Attrition_Yes, 6) AS Attrition_Yes, feature_order FROM d11", *_D11_CTES))
+def d11_all(spark, sf):
+    """D11 before the |r| cutoff: every indicator's correlation and order."""
+    c = discretised_correlation(people(spark, sf))
+    return c.withColumn("Attrition_Yes", F.round("Attrition_Yes", 6))
