@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ntile, row_number, running_sum
+from .ordered import ntile, ordered_scan, row_number
 
 # Cumulative data fractions of the 16-group gains/lift table.
 GAIN_FRACTIONS = [0.01, 0.02, 0.03, 0.04, 0.05, 0.10, 0.15, 0.20, 0.30, 0.40, 0.50,
@@ -43,15 +43,18 @@ def score_counts(scored: DataFrame, label: str, score: str, positive: str = "Yes
 
 
 def metrics_by_threshold(scored: DataFrame, label: str = "Attrition", score: str = "Yes",
-                         positive: str = "Yes", by: Sequence[str] = ()) -> DataFrame:
+                         positive: str = "Yes", by: Sequence[str] = (), with_rank: bool = False) -> DataFrame:
     """Threshold, tp/fp/tn/fn, precision, recall, f1, accuracy and rates.
 
     ``by`` evaluates several models at once (e.g. ``model_id``); class totals
     are then per model, joined from a one-row-per-model aggregate.
+    ``with_rank`` adds ``threshold_rank`` (1 = highest threshold) from the
+    same scan.
     """
     by = list(by)
     counts = score_counts(scored, label, score, positive, by)
-    cum = running_sum(counts, [F.col("threshold").desc()], {"tp": "pos", "fp": "neg"}, by)
+    cum = ordered_scan(counts, [F.col("threshold").desc()], by, row_number="threshold_rank",
+                       sums={"tp": "pos", "fp": "neg"})
     if by:
         tot = counts.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
         cum = cum.join(F.broadcast(tot), by)  # one row per model
@@ -63,7 +66,7 @@ def metrics_by_threshold(scored: DataFrame, label: str = "Attrition", score: str
     precision = F.try_divide(tp, tp + fp)
     recall = F.try_divide(tp, P)
     return cum.select(
-        *by, "threshold", "pos", "neg", tp.alias("tp"), fp.alias("fp"), tn.alias("tn"), fn.alias("fn"),
+        *by, "threshold", *(["threshold_rank"] if with_rank else []), "pos", "neg", tp.alias("tp"), fp.alias("fp"), tn.alias("tn"), fn.alias("fn"),
         precision.alias("precision"), recall.alias("recall"),
         F.try_divide(2 * precision * recall, precision + recall).alias("f1"),
         F.try_divide(tp + tn, P + N).alias("accuracy"),

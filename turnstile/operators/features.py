@@ -188,8 +188,8 @@ def discretize_cuts(df: DataFrame, columns: Sequence[str], cuts: int = 4,
     nd = long.where(F.col("value").isNotNull()).distinct().groupBy("variable").agg(F.count(F.lit(1)).alias("_nd"))
     q = q.join(nd, "variable").where(F.col("_nd") / F.lit(cuts + 1) >= min_unique)
     uniq = q.groupBy("variable", "cut").agg(F.min("prob").alias("prob"))
-    from .ordered import row_number
-    ranked = row_number(uniq, [F.col("cut").asc()], ["variable"], out="position")
+    from .ordered import lookup_row_number
+    ranked = lookup_row_number(uniq, [F.col("cut").asc()], ["variable"], out="position")
     last = ranked.groupBy("variable").agg(F.max("position").alias("_last"))
     ranked = ranked.join(last, "variable")
     cut = (F.when(F.col("position") == 1, F.lit(float("-inf")))

@@ -226,25 +226,33 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     out: str = "quantile") -> DataFrame:
     """Exact linear-interpolation quantiles (R type 7 = SQL ``quantile_cont``).
 
-    Rows are ranked by value with ``ordered_scan`` and only the two order
-    statistics around each requested position are kept, so no group is
-    ever gathered into one task or one aggregation buffer.
+    Rows are first counted per distinct (group, value) -- a map-side partial
+    aggregate -- and only the distinct values are ranked: running counts give
+    each value's position range (cum - count, cum].  The two order statistics
+    around every requested position are then found with a join against the
+    small target table (groups x probs x 2 rows, broadcast after a size
+    check).  No group is gathered into one task or one aggregation buffer.
     """
     partition_by = list(partition_by)
     v = df.select(*partition_by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ranked = row_number(v, [F.col("_v").asc()], partition_by, out="_rn")
-    sizes = v.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_n"))
+    counts = v.groupBy(*partition_by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cum = running_sum(counts, [F.col("_v").asc()], {"_cum": "_c"}, partition_by)
+    sizes = counts.groupBy(*partition_by).agg(F.sum("_c").alias("_n"))
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
     targets = (sizes.select(*partition_by, "_n", F.explode(probs_arr).alias(prob_col))
                .withColumn("_h", (F.col("_n") - 1) * F.col(prob_col))
                .withColumn("_lo", F.floor("_h").cast("long") + 1)
                .withColumn("_hi", F.ceil("_h").cast("long") + 1)
                .withColumn("_frac", F.col("_h") - F.floor("_h")))
-    pos = targets.select(*partition_by, prob_col, "_frac",
+    pos = targets.select(*[F.col(p).alias(f"_g_{i}") for i, p in enumerate(partition_by)], prob_col, "_frac",
                          F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("_lo").alias("p")),
                                            F.struct(F.lit(1).alias("w"), F.col("_hi").alias("p"))))
-                         .alias("_t")).select(*partition_by, prob_col, "_frac", "_t.w", F.col("_t.p").alias("_rn"))
-    picked = ranked.join(broadcast_if_small(pos), on=partition_by + ["_rn"], how="inner")
+                         .alias("_t")).select(*[f"_g_{i}" for i in range(len(partition_by))], prob_col, "_frac",
+                                              "_t.w", F.col("_t.p").alias("_p"))
+    cond = (F.col("_cum") - F.col("_c") < F.col("_p")) & (F.col("_p") <= F.col("_cum"))
+    for i, p in enumerate(partition_by):
+        cond = cond & F.col(p).eqNullSafe(F.col(f"_g_{i}"))
+    picked = cum.join(broadcast_if_small(pos), cond, "inner")
     agg = picked.groupBy(*partition_by, prob_col).agg(
         F.max(F.when(F.col("w") == 0, F.col("_v"))).alias("_lo_v"),
         F.max(F.when(F.col("w") == 1, F.col("_v"))).alias("_hi_v"),

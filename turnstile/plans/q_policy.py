@@ -166,10 +166,10 @@ _BEST_OPT = ("best_opt", "SELECT * FROM opt ORDER BY savings DESC, threshold DES
 
 def sampled_policies(s: DataFrame) -> list[pol.Policy]:
     """O6 + V9: evenly spaced rows of the rates table (threshold descending)."""
-    m = ev.metrics_by_threshold(s)
-    n = m.count()
-    ranked = od.row_number(m.select("threshold", *RATE_COLS), [F.col("threshold").desc()], out="_pos")
-    rows = ranked.where(F.col("_pos").isin(even_positions(n, SAMPLE_SIZE))).collect()  # <= 20 rows
+    n = s.select("Yes").distinct().count()  # rows of the rates table
+    m = ev.metrics_by_threshold(s, with_rank=True)
+    rows = (m.where(F.col("threshold_rank").isin(even_positions(n, SAMPLE_SIZE)))
+            .select("threshold", *RATE_COLS).collect())  # <= 20 rows
     return [pol.Policy("sampled", r["threshold"], r["tnr"], r["fpr"], r["fnr"], r["tpr"]) for r in rows]
 
 
