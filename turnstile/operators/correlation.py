@@ -89,7 +89,7 @@ def indicator_correlation(long: DataFrame) -> DataFrame:
     """
     per = long.groupBy("variable", "level").agg(F.count(F.lit(1)).alias("_a"),
                                               F.sum("y").alias("_b"))
-    tot = long.groupBy("variable").agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_t"))
+    tot = per.groupBy("variable").agg(F.sum("_a").alias("_n"), F.sum("_b").alias("_t"))  # from the counts
     j = per.join(broadcast_if_small(tot), "variable")
     n, a, b, t = (F.col(c).cast("double") for c in ("_n", "_a", "_b", "_t"))
     r = F.try_divide(n * b - a * t, F.sqrt((n * a - a * a) * (n * t - t * t)))

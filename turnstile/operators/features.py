@@ -181,12 +181,13 @@ def discretize_cuts(df: DataFrame, columns: Sequence[str], cuts: int = 4,
     Columns with fewer than ``min_unique * (cuts + 1)`` distinct values are
     not binned (no rows returned for them).
     """
-    from .profile import tall
+    from .ordered import quantiles_from_counts
+    from .profile import value_counts
     probs = [i / cuts for i in range(cuts + 1)]
-    long = tall(df, columns, "double")
-    q = exact_quantiles(long, "value", probs, ["variable"], out="cut")
-    nd = long.where(F.col("value").isNotNull()).distinct().groupBy("variable").agg(F.count(F.lit(1)).alias("_nd"))
-    q = q.join(nd, "variable").where(F.col("_nd") / F.lit(cuts + 1) >= min_unique)
+    counts = value_counts(df, columns).where(F.col("_v").isNotNull())
+    q = quantiles_from_counts(counts, probs, ["variable"], out="cut", groups_bounded=True)
+    nd = counts.groupBy("variable").agg(F.count(F.lit(1)).alias("_nd"))
+    q = q.join(F.broadcast(nd), "variable").where(F.col("_nd") / F.lit(cuts + 1) >= min_unique)
     uniq = q.groupBy("variable", "cut").agg(F.min("prob").alias("prob"))
     from .ordered import lookup_row_number
     ranked = lookup_row_number(uniq, [F.col("cut").asc()], ["variable"], out="position")

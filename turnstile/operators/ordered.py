@@ -223,19 +223,33 @@ def ntile(df: DataFrame, k: int, order_by: OrderSpec, partition_by: Sequence[str
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     partition_by: Sequence[str] = (), prob_col: str = "prob",
-                    out: str = "quantile") -> DataFrame:
+                    out: str = "quantile", groups_bounded: bool = False) -> DataFrame:
     """Exact linear-interpolation quantiles (R type 7 = SQL ``quantile_cont``).
 
     Rows are first counted per distinct (group, value) -- a map-side partial
-    aggregate -- and only the distinct values are ranked: running counts give
-    each value's position range (cum - count, cum].  The two order statistics
-    around every requested position are then found with a join against the
-    small target table (groups x probs x 2 rows, broadcast after a size
-    check).  No group is gathered into one task or one aggregation buffer.
+    aggregate -- and only the distinct values are ranked (see
+    ``quantiles_from_counts``).  No group is gathered into one task or one
+    aggregation buffer.
     """
     partition_by = list(partition_by)
     v = df.select(*partition_by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     counts = v.groupBy(*partition_by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return quantiles_from_counts(counts, probs, partition_by, prob_col, out, groups_bounded)
+
+
+def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], partition_by: Sequence[str] = (),
+                          prob_col: str = "prob", out: str = "quantile",
+                          groups_bounded: bool = False) -> DataFrame:
+    """Quantiles from ``(groups..., _v, _c)`` = value counts (non-NULL values).
+
+    Running counts over the distinct values give each value's position range
+    (cum - count, cum]; the two order statistics around every requested
+    position are found with a join against the target table (groups x probs
+    x 2 rows).  That table is broadcast: without groups its size is fixed,
+    with ``groups_bounded`` the caller vouches for a schema-sized group set
+    (e.g. one group per column), otherwise its size is checked first.
+    """
+    partition_by = list(partition_by)
     cum = running_sum(counts, [F.col("_v").asc()], {"_cum": "_c"}, partition_by)
     sizes = counts.groupBy(*partition_by).agg(F.sum("_c").alias("_n"))
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
@@ -249,10 +263,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                                            F.struct(F.lit(1).alias("w"), F.col("_hi").alias("p"))))
                          .alias("_t")).select(*[f"_g_{i}" for i in range(len(partition_by))], prob_col, "_frac",
                                               "_t.w", F.col("_t.p").alias("_p"))
+    pos = F.broadcast(pos) if (not partition_by or groups_bounded) else broadcast_if_small(pos)
     cond = (F.col("_cum") - F.col("_c") < F.col("_p")) & (F.col("_p") <= F.col("_cum"))
     for i, p in enumerate(partition_by):
         cond = cond & F.col(p).eqNullSafe(F.col(f"_g_{i}"))
-    picked = cum.join(broadcast_if_small(pos), cond, "inner")
+    picked = cum.join(pos, cond, "inner")
     agg = picked.groupBy(*partition_by, prob_col).agg(
         F.max(F.when(F.col("w") == 0, F.col("_v"))).alias("_lo_v"),
         F.max(F.when(F.col("w") == 1, F.col("_v"))).alias("_hi_v"),

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import NUMERIC, contains
 from .joins import broadcast_if_small
-from .ordered import exact_quantiles
+from .ordered import exact_quantiles, quantiles_from_counts
 
 # Feature groups of the data-understanding step, as
 # (group name, name fragments matched case-insensitively).
@@ -104,23 +104,37 @@ def missing_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 PROFILE_PROBS = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(variable, _v, _c)``: rows per distinct value of every column (NULL
+    kept as a value).  One partial aggregate; the profile, the quantiles and
+    the distinct counts are all derived from it, so the input is read once."""
+    return tall(df, columns, "double").groupBy("variable", F.col("value").alias("_v")) \
+        .agg(F.count(F.lit(1)).alias("_c"))
+
+
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """N, missing, mean, sd, p0/p25/p50/p75/p100, distinct values.
 
-    Moments come from one grouped aggregate over the tall table; quantiles
-    are exact and distributed.
-    """
-    long = tall(df, columns, "double")
-    moments = long.groupBy("variable").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("value").isNull()).alias("n_missing"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"))
-    q = exact_quantiles(long, "value", PROFILE_PROBS, ["variable"])
+    Everything comes from the value-count table: moments as weighted sums,
+    quantiles from running counts over distinct values (exact), distinct
+    values as its row count (NULL counted as a value, as R ``unique``)."""
+    counts = value_counts(df, columns)
+    nn = counts.where(F.col("_v").isNotNull())
+    s1 = nn.groupBy("variable").agg(F.sum("_c").alias("_nn"), F.sum(F.col("_v") * F.col("_c")).alias("_s1"))
+    mean = s1.select("variable", (F.col("_s1") / F.col("_nn")).alias("mean"))
+    dev = nn.join(F.broadcast(mean), "variable").groupBy("variable").agg(
+        F.sum(F.col("_c") * (F.col("_v") - F.col("mean")) ** 2).alias("_ss"), F.first("mean").alias("mean"),
+        F.sum("_c").alias("_nn"))
+    moments = counts.groupBy("variable").agg(
+        F.sum("_c").alias("n"), F.sum(F.when(F.col("_v").isNull(), F.col("_c")).otherwise(0)).alias("n_missing"),
+        F.count(F.lit(1)).alias("n_distinct"))
+    q = quantiles_from_counts(nn, PROFILE_PROBS, ["variable"], groups_bounded=True)
     wide = q.groupBy("variable").pivot("prob", PROFILE_PROBS).agg(F.first("quantile"))
     wide = wide.select("variable", *[F.col(f"`{p}`").alias(f"p{int(p * 100)}") for p in PROFILE_PROBS])
-    nd = distinct_counts(df, columns)
-    return moments.join(wide, "variable", "left").join(nd, "variable", "left")
+    sd = dev.select("variable", "mean", F.sqrt(F.try_divide(F.col("_ss"), F.col("_nn") - 1)).alias("sd"))
+    return (moments.join(sd, "variable", "left").join(wide, "variable", "left")
+            .select("variable", "n", "n_missing", "mean", "sd", *[f"p{int(p * 100)}" for p in PROFILE_PROBS],
+                    "n_distinct"))
 
 
 def type_name(dt: T.DataType) -> str:
@@ -167,7 +181,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFram
 
 def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     """D14 numeric x category: exact five-number summary per category."""
-    q = exact_quantiles(df, value, PROFILE_PROBS, [group])
+    q = exact_quantiles(df, value, PROFILE_PROBS, [group])  # group set checked inside
     return q.groupBy(group).pivot("prob", PROFILE_PROBS).agg(F.first("quantile")).select(
         group, *[F.col(f"`{p}`").alias(f"p{int(p * 100)}") for p in PROFILE_PROBS])
 

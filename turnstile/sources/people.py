@@ -38,8 +38,13 @@ def _int(c: Column) -> Column:
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """People view ``hr`` (one row per order)."""
-    o = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return people_from(read_table(spark, sf_dir, "orders"), spark, sf_dir)
+
+
+def people_from(orders: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People projection of an orders DataFrame (batch or streaming); the
+    customer / nation / region sides are static tables."""
+    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
