@@ -12,7 +12,7 @@ def test_flagship_plan_prunes_and_has_no_python_udf(spark, catalog):
     p = _plan(df)
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
     # only the needed order columns are read
-    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string>" in p
+    assert "ReadSchema: struct<o_custkey:bigint,o_orderstatus:string>" in p
 
 
 def test_readable_decode_uses_broadcast_joins(spark, catalog):

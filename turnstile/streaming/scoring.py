@@ -18,13 +18,14 @@ from ..functions.cost import attrition_cost
 from ..operators.recommend import personal_development, professional_development, work_environment
 from ..session import scratch_path
 from ..sources.people import people_from, score_columns
-from ..sources.tables import SCHEMAS, table_path
+from ..sources.tables import SCHEMAS
 
 
 def orders_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
     """The orders table read as a file stream (schema declared, no inference)."""
+    # a file stream reads a folder; the glob keeps only the orders file(s)
     return (spark.readStream.schema(SCHEMAS["orders"]).option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(table_path(sf_dir, "orders")))
+            .option("pathGlobFilter", "orders*.parquet").parquet(sf_dir.rstrip("/")))
 
 
 def score_and_recommend(hr: DataFrame) -> DataFrame:
