@@ -60,3 +60,17 @@ def materialize_lookup(df: DataFrame, max_rows: int = LOOKUP_MAX_ROWS) -> DataFr
     if len(rows) > max_rows:
         return None
     return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    For operators that scan the same input several times (fit passes,
+    quantiles, then the apply pass): the input -- often a join -- is computed
+    once, later passes read columnar files, and the lineage is cut so a lost
+    executor does not recompute the join.
+    """
+    from ..session import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

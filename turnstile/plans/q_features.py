@@ -10,7 +10,7 @@ from ..functions.columns import contains
 from ..operators import correlation as cr
 from ..operators import features as fe
 from ..operators import profile as pf
-from ..operators.joins import materialize_lookup
+from ..operators.joins import materialize_lookup, stage_table
 from ..operators.ordered import lookup_row_number
 from ..sources.people import people
 from ..sources.tables import read_table
@@ -258,7 +258,9 @@ def discretised_correlation(hr: DataFrame) -> DataFrame:
     every category one-hot, correlation of each indicator with
     Attrition_Yes (count form), ordered (fct_reorder + fct_rev)."""
     cols = D11_NUMERIC + D11_CATEGORIES
-    keep = [c for c in cols if c not in fe.zero_variance(hr, cols)]
+    hr = stage_table(hr.select("Attrition", *cols), "d11-input")  # several passes follow
+    dropped = set(fe.zero_variance(hr, cols))  # one aggregate pass
+    keep = [c for c in cols if c not in dropped]
     nums = [c for c in D11_NUMERIC if c in keep]
     cats = [c for c in D11_CATEGORIES if c in keep]
     binned = fe.discretize(hr.select("Attrition", *nums, *cats), fe.discretize_cuts(hr, nums))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as ev
 from ..operators import ordered as od
 from ..operators import policy as pol
+from ..operators.joins import stage_table
 from ..sources.people import scored
 from .q_evaluation import metrics_sql
 from .q_relational import OVERTIME_PCTS, REVENUES, even_positions
@@ -62,6 +63,14 @@ _R4 = "round(tnr, 6) AS tnr, round(fnr, 6) AS fnr, round(fpr, 6) AS fpr, round(t
 _BEST_F1 = "SELECT * FROM m ORDER BY f1 DESC, threshold DESC LIMIT 1"
 
 
+def staged_scored(spark, sf) -> DataFrame:
+    """The scored columns the optimisation reads, written once: the threshold
+    search, the savings pass and the grid pass then read files instead of
+    recomputing the people join."""
+    cols = ["EmployeeNumber", "Attrition", "OverTime", "MonthlyIncome", "Yes", "Yes_no_ot"]
+    return stage_table(scored(spark, sf).select(*cols), "scored")
+
+
 def _max_f1_policy(s: DataFrame) -> pol.Policy:
     b = ev.max_metric_row(ev.metrics_by_threshold(s), "f1").first()  # one row
     return pol.Policy("max_f1", b["threshold"], b["tnr"], b["fpr"], b["fnr"], b["tpr"])
@@ -185,7 +194,7 @@ def best_policy(s: DataFrame) -> pol.Policy:
 @query("v09_threshold_optimisation", with_ctes(
     f"SELECT threshold, {_R4}, round(savings, 2) AS savings FROM opt", _PRC, _M, _OPT, scored=True))
 def v09(spark, sf):
-    t = optimisation_table(scored(spark, sf))
+    t = optimisation_table(staged_scored(spark, sf))
     return money(t.select("threshold", *RATE_COLS, "savings"))
 
 
@@ -193,7 +202,7 @@ def v09(spark, sf):
     f"SELECT threshold, {_R4}, round(savings, 2) AS savings FROM best_opt", _PRC, _M, _OPT, _BEST_OPT,
     scored=True))
 def v09_best(spark, sf):
-    b = pol.best_row(optimisation_table(scored(spark, sf)))
+    b = pol.best_row(optimisation_table(staged_scored(spark, sf)))
     return money(b.select("threshold", *RATE_COLS, "savings"))
 
 
@@ -204,7 +213,7 @@ def v09_best(spark, sf):
   threshold = (SELECT threshold FROM best) AS is_max_f1 FROM opt""",
     _PRC, _M, _OPT, ("best", _BEST_F1), scored=True))
 def v10(spark, sf):
-    s = scored(spark, sf)
+    s = staged_scored(spark, sf)
     t = optimisation_table(s)
     f1_t = _max_f1_policy(s).threshold
     w = Window.partitionBy()  # the table has at most SAMPLE_SIZE rows
@@ -219,7 +228,7 @@ def v10(spark, sf):
     "SELECT 'best' AS policy, threshold, tnr, fnr, fpr, tpr FROM best_opt", "prc2")),
     _PRC, _M, _OPT, _BEST_OPT, ("prc2", prc_sql(300000, 0.20)), scored=True))
 def v11(spark, sf):
-    s = scored(spark, sf)
+    s = staged_scored(spark, sf)
     t = pol.savings_for_policies(s, [best_policy(s)], revenue=300000, pct=0.20)
     return money(t.select("threshold", *SAV, "pct_savings"))
 
@@ -250,7 +259,7 @@ def _grid_sql() -> str:
 
 @query("v12_sensitivity_grid", with_ctes(_grid_sql(), _PRC, _M, _OPT, _BEST_OPT, scored=True))
 def v12(spark, sf):
-    s = scored(spark, sf)
+    s = staged_scored(spark, sf)
     g = pol.sensitivity_grid(s, best_policy(s), OVERTIME_PCTS, REVENUES)
     return money(g)
 

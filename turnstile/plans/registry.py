@@ -40,7 +40,7 @@ def query(name: str, sql: str | None = None):
 def load_all() -> dict[str, Entry]:
     """Import every query module (registration happens at import)."""
     from . import (q_relational, q_domain, q_features, q_evaluation, q_policy, q_models,  # noqa: F401
-                   q_streaming)
+                   q_streaming, q_udf)
     q_domain.attach_late_sql()
     return CATALOG
 
