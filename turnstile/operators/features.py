@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .correlation import make_names
-from .ordered import exact_quantiles
 from .profile import skewness_table
 
 SKEW_CUTOFF = 0.8

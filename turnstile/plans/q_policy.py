@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
-from ..operators import ordered as od
 from ..operators import policy as pol
 from ..operators.joins import stage_table
 from ..sources.people import scored
