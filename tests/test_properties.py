@@ -140,3 +140,15 @@ def test_null_rules(spark):
     t = spark.createDataFrame([("a",), (None,), ("b",)], "s string")
     kept = t.where(~F.coalesce(F.col("s").isin("a"), F.lit(False))).count()
     assert kept == 2
+
+
+def test_rank_groups_with_ties_match_sql_ntile(spark):
+    # three distinct scores over 1003 rows: every tile boundary falls inside a tie
+    rows = [(i, float(i % 3), "Yes" if i % 7 == 0 else "No") for i in range(1003)]
+    df = spark.createDataFrame(rows, "EmployeeNumber long, Yes double, Attrition string")
+    got = {r["group"]: (r["cases"], r["responses"])
+           for r in ev.rank_group_counts(df, ev.ntile_bounds(1003, 10), descending=False).collect()}
+    ref = (df.withColumn("t", F.ntile(10).over(Window.orderBy("Yes", "EmployeeNumber")))
+           .groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("Attrition") == "Yes").alias("r")))
+    exp = {r["t"]: (r["c"], r["r"]) for r in ref.collect()}
+    assert got == exp

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ntile, ordered_scan, row_number
+from .ordered import ordered_scan, row_number, running_sum
 
 # Cumulative data fractions of the 16-group gains/lift table.
 GAIN_FRACTIONS = [0.01, 0.02, 0.03, 0.04, 0.05, 0.10, 0.15, 0.20, 0.30, 0.40, 0.50,
@@ -147,17 +147,67 @@ def ranked_predictions(scored: DataFrame, id_col: str = "EmployeeNumber", score:
     return row_number(scored, [F.col(score).desc(), F.col(id_col).asc()], out="rank")
 
 
+def ntile_bounds(n: int, k: int) -> list[int]:
+    """Upper rank of each of ``k`` tiles; the first ``n mod k`` tiles get one
+    extra row (dplyr and SQL ``ntile`` agree)."""
+    small, extra = divmod(n, k)
+    out, acc = [], 0
+    for t in range(1, k + 1):
+        acc += small + (1 if t <= extra else 0)
+        out.append(acc)
+    return [b for i, b in enumerate(out) if b > 0 and (i == 0 or b > out[i - 1])]
+
+
+def _group_of(rank: Column, bounds: Sequence[int]) -> Column:
+    g = F.lit(len(bounds))
+    for i in range(len(bounds) - 1, -1, -1):
+        g = F.when(rank <= F.lit(bounds[i]), F.lit(i + 1)).otherwise(g)
+    return g
+
+
+def rank_group_counts(scored: DataFrame, bounds: Sequence[int], score: str = "Yes",
+                      id_col: str = "EmployeeNumber", label: str = "Attrition", positive: str = "Yes",
+                      descending: bool = True) -> DataFrame:
+    """Rows and positives per rank group, ranks ordered by (score, id asc).
+
+    Group g holds ranks (bounds[g-1], bounds[g]].  Rows are counted per
+    distinct score (map-side partial aggregate) and running counts over the
+    distinct scores place whole score groups; only the rows of the at most
+    ``len(bounds) - 1`` scores that straddle a boundary are ranked by id
+    (distributed), so the table is never sorted row by row.
+    """
+    per = score_counts(scored, label, score, positive).withColumn("_c", F.col("pos") + F.col("neg"))
+    order = F.col("threshold").desc() if descending else F.col("threshold").asc()
+    cum = running_sum(per, [order], {"_cum": "_c"})
+    g_lo = _group_of(F.col("_cum") - F.col("_c") + 1, bounds)
+    g_hi = _group_of(F.col("_cum"), bounds)
+    cum = cum.withColumn("_glo", g_lo).withColumn("_ghi", g_hi)
+    whole = (cum.where(F.col("_glo") == F.col("_ghi"))
+             .groupBy(F.col("_glo").alias("group"))
+             .agg(F.sum("_c").alias("cases"), F.sum("pos").alias("responses")))
+    split = cum.where(F.col("_glo") != F.col("_ghi")).select(
+        F.col("threshold").alias("_t"), (F.col("_cum") - F.col("_c")).alias("_before"))
+    # at most len(bounds) - 1 straddling scores: a bounded broadcast
+    rows = scored.select(F.col(score).alias("_t"), id_col, label).join(F.broadcast(split), "_t")
+    ranked = row_number(rows, [F.col(id_col).asc()], ["_t"], out="_rn")
+    parts = (ranked.withColumn("group", _group_of(F.col("_before") + F.col("_rn"), bounds))
+             .groupBy("group").agg(F.count(F.lit(1)).alias("cases"),
+                                   F.count_if(_is_pos(label, positive)).alias("responses")))
+    return whole.unionByName(parts).groupBy("group").agg(F.sum("cases").cast("long").alias("cases"),
+                                                          F.sum("responses").cast("long").alias("responses"))
+
+
 def gain_lift_deciles(scored: DataFrame, k: int = 10, id_col: str = "EmployeeNumber", score: str = "Yes",
                       label: str = "Attrition", positive: str = "Yes") -> DataFrame:
     """``ntile(score, k)`` (ascending, id tie-break), group 1 = top tile;
     cases, responses, cumulative responses, gain, lift and baselines.
 
-    Tiles come from exact distributed ranks; the per-tile table has k rows,
-    so its running sums use a window bounded by k.
+    Tile counts come from ``rank_group_counts``; the per-tile table has k
+    rows, so its running sums use a window bounded by k.
     """
-    tiles = ntile(scored.select(id_col, score, label), k, [F.col(score).asc(), F.col(id_col).asc()], out="_tile")
-    per = tiles.groupBy("_tile").agg(F.count(F.lit(1)).alias("cases"),
-                                     F.count_if(_is_pos(label, positive)).alias("responses"))
+    n = scored.count()
+    per = rank_group_counts(scored, ntile_bounds(n, k), score, id_col, label, positive, descending=False) \
+        .withColumnRenamed("group", "_tile")
     w = Window.orderBy(F.col("_tile").desc()).rowsBetween(Window.unboundedPreceding, 0)
     w_all = Window.partitionBy()
     g = per.select(
@@ -186,15 +236,8 @@ def gains_lift_table(scored: DataFrame, id_col: str = "EmployeeNumber", score: s
                      label: str = "Attrition", positive: str = "Yes",
                      fractions: Sequence[float] = GAIN_FRACTIONS) -> DataFrame:
     """gains/lift by quantile groups of the ranked scores (descending)."""
-    base = scored.select(id_col, score, label)
-    n = base.count()
-    bounds = group_bounds(n, fractions)
-    ranked = ranked_predictions(base, id_col, score)
-    grp = F.lit(len(bounds))
-    for i in range(len(bounds) - 1, -1, -1):
-        grp = F.when(F.col("rank") <= bounds[i], F.lit(i + 1)).otherwise(grp)
-    per = ranked.withColumn("group", grp).groupBy("group").agg(
-        F.count(F.lit(1)).alias("cases"), F.count_if(_is_pos(label, positive)).alias("responses"))
+    n = scored.count()
+    per = rank_group_counts(scored, group_bounds(n, fractions), score, id_col, label, positive, descending=True)
     w = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, 0)
     w_all = Window.partitionBy()
     t = per.select("group", "cases", "responses",
