@@ -16,7 +16,7 @@ from ..operators import policy as pol
 from ..operators.attrition import count_by, count_to_pct
 from ..sources.people import people, scored
 from .q_evaluation import MODELS_SQL, metrics_sql, models_long
-from .q_policy import best_policy, money
+from .q_policy import _BEST_OPT, _M, _OPT, _PRC, best_policy, money, prc_sql, savings_sql, staged_scored
 from .q_relational import FREQ_COLUMNS, NUMERIC_FEATURES, _long_sql, skew_sql
 from .registry import query
 from .sql import cost_sql, with_ctes
@@ -65,11 +65,20 @@ def k04(spark, sf):
     return ev.auc(m, ["model_id"]).withColumn("auc", F.round("auc", 6))
 
 
-@query("k05_partial_arguments")
+_K05_SQL = " UNION ALL ".join(
+    f"""SELECT {p}::DOUBLE AS avg_overtime_pct, {float(r)}::DOUBLE AS net_revenue_per_employee,
+  round(savings, 2) AS savings FROM ({savings_sql("SELECT 'best' AS policy, threshold, tnr, fnr, fpr, tpr FROM best_opt",
+                                                f"prc_{i}")}) s{i}"""
+    for i, (p, r) in enumerate([(0.10, 250000), (0.20, 300000)]))
+
+
+@query("k05_partial_arguments", with_ctes(_K05_SQL, _PRC, _M, _OPT, _BEST_OPT,
+                                          ("prc_0", prc_sql(250000, 0.10)), ("prc_1", prc_sql(300000, 0.20)),
+                                          scored=True))
 def k05(spark, sf):
     """K5: ``partial`` pre-fills data and policy; the varied arguments are
     evaluated for all rows in one pass."""
-    s = scored(spark, sf)
+    s = staged_scored(spark, sf)
     preloaded = functools.partial(pol.savings_for_policies, s, [best_policy(s)])
     parts = [preloaded(revenue=r, pct=p).select(F.lit(p).alias("avg_overtime_pct"),
                                                 F.lit(float(r)).alias("net_revenue_per_employee"), "savings")
