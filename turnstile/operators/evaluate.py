@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import broadcast_if_small
 from .ordered import ordered_scan, row_number, running_sum
 
 # Cumulative data fractions of the 16-group gains/lift table.
@@ -57,7 +58,7 @@ def metrics_by_threshold(scored: DataFrame, label: str = "Attrition", score: str
                        sums={"tp": "pos", "fp": "neg"})
     if by:
         tot = counts.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-        cum = cum.join(F.broadcast(tot), by)  # one row per model
+        cum = cum.join(broadcast_if_small(tot), by)  # one row per model, size checked
     else:
         p, n = class_totals(scored, label, positive)
         cum = cum.withColumn("_P", F.lit(p).cast("long")).withColumn("_N", F.lit(n).cast("long"))
@@ -66,7 +67,8 @@ def metrics_by_threshold(scored: DataFrame, label: str = "Attrition", score: str
     precision = F.try_divide(tp, tp + fp)
     recall = F.try_divide(tp, P)
     return cum.select(
-        *by, "threshold", *(["threshold_rank"] if with_rank else []), "pos", "neg", tp.alias("tp"), fp.alias("fp"), tn.alias("tn"), fn.alias("fn"),
+        *by, "threshold", *(["threshold_rank"] if with_rank else []), "pos", "neg",
+        tp.alias("tp"), fp.alias("fp"), tn.alias("tn"), fn.alias("fn"),
         precision.alias("precision"), recall.alias("recall"),
         F.try_divide(2 * precision * recall, precision + recall).alias("f1"),
         F.try_divide(tp + tn, P + N).alias("accuracy"),
