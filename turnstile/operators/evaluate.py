@@ -279,3 +279,49 @@ def leaderboard(scored_long: DataFrame, label: str = "Attrition", positive: str
     ll = logloss(scored_long, label, "score", positive, by=["model_id"])
     board = a.join(ll, "model_id")
     return board
+
+
+def quantile_thresholds(scored: DataFrame, score: str = "Yes", max_thresholds: int = 400) -> list[float]:
+    """Thresholds at the exact quantiles j/k (j = 0..k-1) of the score,
+    de-duplicated: at most ``max_thresholds`` values reach the driver."""
+    from .ordered import exact_quantiles
+    k = max_thresholds
+    q = exact_quantiles(scored, score, [j / k for j in range(k)]).collect()
+    return sorted({r["quantile"] for r in q if r["quantile"] is not None})
+
+
+def metrics_binned(scored: DataFrame, thresholds: Sequence[float], label: str = "Attrition",
+                   score: str = "Yes", positive: str = "Yes") -> DataFrame:
+    """E1 with a bounded threshold table: one row per given threshold.
+
+    Each row is placed in its threshold bucket by binary search (MLlib
+    ``Bucketizer``, JVM), counted per bucket (partial aggregate), and the
+    running sums run over at most len(thresholds) + 1 rows, so the table stays
+    small however large the data is."""
+    from pyspark.ml.feature import Bucketizer
+    ts = sorted(set(float(t) for t in thresholds))
+    splits = [float("-inf")] + ts + [float("inf")]
+    b = Bucketizer(splits=splits, inputCol=score, outputCol="_b", handleInvalid="keep")
+    per = b.transform(scored.select(score, label)).groupBy("_b").agg(
+        F.count_if(_is_pos(label, positive)).alias("pos"), F.count_if(~_is_pos(label, positive)).alias("neg"))
+    # bucket b holds thresholds[b-1] <= score < thresholds[b]; bucket 0 lies
+    # below the first threshold.  All k + 1 buckets are listed so empty ones
+    # count as zero; the windows below run over these k + 1 rows only.
+    spark = scored.sparkSession
+    idx = spark.createDataFrame([(float(i),) for i in range(len(ts) + 1)], "_b double")
+    full = idx.join(per, "_b", "left").fillna(0, ["pos", "neg"])
+    w = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    w_all = Window.partitionBy()
+    cum = full.select("_b", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
+                      F.sum("pos").over(w_all).alias("_P"), F.sum("neg").over(w_all).alias("_N"))
+    tt = spark.createDataFrame([(float(i + 1), t) for i, t in enumerate(ts)], "_b double, threshold double")
+    j = tt.join(cum, "_b")  # threshold i <-> bucket i: tp = positives in buckets >= i
+    tp, fp, P, N = F.col("tp"), F.col("fp"), F.col("_P"), F.col("_N")
+    fn, tn = P - tp, N - fp
+    precision = F.try_divide(tp, tp + fp)
+    recall = F.try_divide(tp, P)
+    return j.select("threshold", tp.alias("tp"), fp.alias("fp"), tn.alias("tn"), fn.alias("fn"),
+                    precision.alias("precision"), recall.alias("recall"),
+                    F.try_divide(2 * precision * recall, precision + recall).alias("f1"),
+                    F.try_divide(tn, N).alias("tnr"), F.try_divide(fn, P).alias("fnr"),
+                    F.try_divide(fp, N).alias("fpr"), recall.alias("tpr"))

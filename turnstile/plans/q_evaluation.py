@@ -233,3 +233,27 @@ def e14(spark, sf):
 UNPIVOT (value FOR key IN (tnr, fnr, fpr, tpr))""", _M, scored=True))
 def e15(spark, sf):
     return ev.rates_long(_metrics(spark, sf)).withColumn("value", F.round("value", 6))
+
+
+BINNED_K = 100
+_BINNED_RATES = ["precision", "recall", "f1", "tnr", "fnr", "fpr", "tpr"]
+
+
+@query("e01_metrics_by_threshold_binned", with_ctes(
+    f"""SELECT threshold, tp, fp, N - fp AS tn, P - tp AS fn,
+  round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(CASE WHEN precision + recall = 0 THEN NULL ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1,
+  round((N - fp) / N, 6) AS tnr, round((P - tp) / P, 6) AS fnr, round(fp / N, 6) AS fpr, round(recall, 6) AS tpr
+FROM (SELECT *, CASE WHEN tp + fp = 0 THEN NULL ELSE tp / (tp + fp) END AS precision, tp / P AS recall FROM (
+  SELECT t.threshold, count(*) FILTER (WHERE s.Attrition = 'Yes' AND s.Yes >= t.threshold) AS tp,
+    count(*) FILTER (WHERE s.Attrition <> 'Yes' AND s.Yes >= t.threshold) AS fp
+  FROM (SELECT DISTINCT unnest(quantile_cont(Yes, [{", ".join(str(j / BINNED_K) for j in range(BINNED_K))}]))
+          AS threshold FROM scored) t, scored s GROUP BY t.threshold) c,
+  (SELECT count(*) FILTER (WHERE Attrition = 'Yes') AS P, count(*) FILTER (WHERE Attrition <> 'Yes') AS N
+   FROM scored) tot) x""", scored=True))
+def e01_binned(spark, sf):
+    """E1 with at most BINNED_K thresholds at exact score quantiles (the
+    bounded table for very large data; results differ from E1 by design)."""
+    s = scored(spark, sf)
+    m = ev.metrics_binned(s, ev.quantile_thresholds(s, "Yes", BINNED_K))
+    return r6(m, _BINNED_RATES)
