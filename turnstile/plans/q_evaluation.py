@@ -172,7 +172,7 @@ def e11(spark, sf):
     return r6(ev.gain_lift_deciles(scored(spark, sf)), _GL)
 
 
-def _gains_sql() -> str:
+def _gains_sql(source: str = "scored", score: str = "Yes") -> str:
     fr = ", ".join(f"({i + 1}, {f})" for i, f in enumerate(ev.GAIN_FRACTIONS))
     return f"""SELECT "group", cases, responses, cumulative_data_fraction, cumulative_capture_rate, lift,
   cumulative_capture_rate / cumulative_data_fraction AS cumulative_lift FROM (
@@ -182,11 +182,11 @@ def _gains_sql() -> str:
       AS cumulative_capture_rate,
     (responses / cases) / (sum(responses) OVER () / sum(cases) OVER ()) AS lift
   FROM (SELECT "group", count(*) AS cases, count(*) FILTER (WHERE Attrition = 'Yes') AS responses
-        FROM (SELECT Attrition, row_number() OVER (ORDER BY Yes DESC, EmployeeNumber) AS rk FROM scored) r
+        FROM (SELECT Attrition, row_number() OVER (ORDER BY {score} DESC, EmployeeNumber) AS rk FROM {source}) r
         JOIN (SELECT CAST(row_number() OVER (ORDER BY b) AS INT) AS "group", b,
                      coalesce(lag(b) OVER (ORDER BY b), 0) AS pb
               FROM (SELECT DISTINCT least(n, CAST(ceil(round(f * n, 9)) AS BIGINT)) AS b
-                    FROM (VALUES {fr}) v(i, f), (SELECT count(*) AS n FROM scored) c) d WHERE b > 0) bd
+                    FROM (VALUES {fr}) v(i, f), (SELECT count(*) AS n FROM {source}) c) d WHERE b > 0) bd
           ON r.rk <= bd.b AND r.rk > bd.pb GROUP BY "group") g) h"""
 
 
@@ -257,3 +257,25 @@ def e01_binned(spark, sf):
     s = scored(spark, sf)
     m = ev.metrics_binned(s, ev.quantile_thresholds(s, "Yes", BINNED_K))
     return r6(m, _BINNED_RATES)
+
+
+_MODEL_IDS = ["as_is", "no_overtime"]
+
+
+@query("e14_dashboard_gain_lift", with_ctes(" UNION ALL ".join(
+    f"""SELECT '{m}' AS model_id, "group", cases, responses,
+  {", ".join(f"round({c}, 6) AS {c}" for c in _G12)} FROM ({_gains_sql(f"(SELECT * FROM models WHERE model_id = '{m}')", "score")}) g"""
+    for m in _MODEL_IDS), _MODELS, scored=True))
+def e14_gain(spark, sf):
+    """gain/lift table of every model on the dashboard (one job per
+    model; the model list is short and known)."""
+    ml = models_long(spark, sf)
+    parts = []
+    for m in _MODEL_IDS:
+        t = ev.gains_lift_table(ml.where(F.col("model_id") == m), score="score")
+        parts.append(t.select(F.lit(m).alias("model_id"), F.col("group").cast("int").alias("group"),
+                              "cases", "responses", *_G12))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return r6(out, _G12)

@@ -80,11 +80,19 @@ def _best_single(spark, sf):
     return mid, r.models[mid]
 
 
+def max_f1_threshold(spark, sf, model) -> float:
+    """Class threshold = the one maximising F1 on the training predictions
+    (the label rule of the source's predictions)."""
+    train, _ = splits(spark, sf)
+    p = md.predict(model, train).join(train.select("EmployeeNumber", "Attrition"), "EmployeeNumber")
+    return ev.max_metric_row(ev.metrics_by_threshold(p), "f1").first()["threshold"]
+
+
 @query("l07_predict")
 def l07(spark, sf):
     _, model = _best_single(spark, sf)
     _, test = splits(spark, sf)
-    return md.predict(model, test)
+    return md.predict(model, test, threshold=max_f1_threshold(spark, sf, model))
 
 
 @query("l08_grid_search")
