@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import broadcast_if_small
-from .ordered import ordered_scan, row_number, running_sum
+from .ordered import lookup_row_number, ordered_scan, row_number, running_sum
 
 # Cumulative data fractions of the 16-group gains/lift table.
 GAIN_FRACTIONS = [0.01, 0.02, 0.03, 0.04, 0.05, 0.10, 0.15, 0.20, 0.30, 0.40, 0.50,
@@ -191,7 +191,9 @@ def rank_group_counts(scored: DataFrame, bounds: Sequence[int], score: str = "Ye
         F.col("threshold").alias("_t"), (F.col("_cum") - F.col("_c")).alias("_before"))
     # at most len(bounds) - 1 straddling scores: a bounded broadcast
     rows = scored.select(F.col(score).alias("_t"), id_col, label).join(F.broadcast(split), "_t")
-    ranked = row_number(rows, [F.col(id_col).asc()], ["_t"], out="_rn")
+    # usually a few rows (size-checked lookup path); a hot tied score takes
+    # the distributed scan instead
+    ranked = lookup_row_number(rows, [F.col(id_col).asc()], ["_t"], out="_rn")
     parts = (ranked.withColumn("group", _group_of(F.col("_before") + F.col("_rn"), bounds))
              .groupBy("group").agg(F.count(F.lit(1)).alias("cases"),
                                    F.count_if(_is_pos(label, positive)).alias("responses")))
