@@ -192,3 +192,33 @@ def best_row(table: DataFrame, value: str = "savings") -> DataFrame:
     """W8/V9 pick: the row with the largest value (ties -> highest threshold)."""
     b = table.agg(F.max_by(F.struct(*table.columns), F.struct(F.col(value), F.col("threshold"))).alias("b"))
     return b.select("b.*")
+
+
+def savings_binned(scored: DataFrame, metrics: DataFrame, thresholds, revenue=DEFAULT_REVENUE,
+                   pct=DEFAULT_PCT) -> DataFrame:
+    """V7 with a bounded threshold table: savings at the given thresholds.
+
+    Rows are bucketed by score with a JVM binary search (MLlib
+    ``Bucketizer``), the three cost components are summed per bucket, and the
+    running sums run over at most len(thresholds) + 1 buckets; ``metrics``
+    (from ``metrics_binned`` on the same thresholds) supplies the rates."""
+    from pyspark.ml.feature import Bucketizer
+    from pyspark.sql import Window
+    ts = sorted(set(float(t) for t in thresholds))
+    r = policy_rows(scored, revenue, pct)
+    b = Bucketizer(splits=[float("-inf")] + ts + [float("inf")], inputCol="y0", outputCol="_b",
+                   handleInvalid="keep")
+    per = b.transform(r).groupBy("_b").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"),
+                                          F.sum("c2").alias("c2"))
+    spark = scored.sparkSession
+    idx = spark.createDataFrame([(float(i),) for i in range(len(ts) + 1)], "_b double")
+    full = idx.join(per, "_b", "left").fillna(0.0, ["c0", "c1", "c2"])
+    w = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, 0)  # <= k + 1 rows
+    cum = full.select("_b", F.sum("c0").over(w).alias("f0"), F.sum("c1").over(w).alias("f1"),
+                      F.sum("c2").over(w).alias("f2"), F.sum("c0").over(Window.partitionBy()).alias("s0"))
+    tt = spark.createDataFrame([(float(i + 1), t) for i, t in enumerate(ts)], "_b double, threshold double")
+    j = tt.join(cum, "_b").join(metrics.select("threshold", "tnr", "fnr", "fpr", "tpr"), "threshold")
+    a = F.col("tpr") + F.col("fnr")
+    bb = F.col("tnr") + F.col("fpr")
+    return j.select("threshold", "tnr", "fnr", "fpr", "tpr",
+                    *_savings_cols(F.col("s0"), F.col("f0"), F.col("f1"), F.col("f2"), a, bb))

@@ -269,3 +269,31 @@ def j07(spark, sf):
     """The threshold table x employee rows, expressed as one aggregate
     with a conditional sum per threshold (no cross join)."""
     return v09(spark, sf)
+
+
+def _binned_sql(k: int) -> str:
+    probs = ", ".join(str(j / k) for j in range(k))
+    return f"""SELECT t.threshold, (SELECT sum(c0) FROM prc) AS s0,
+    sum(CASE WHEN y0 >= t.threshold THEN c0 ELSE 0 END) AS f0,
+    sum(CASE WHEN y0 >= t.threshold THEN c1 ELSE 0 END) AS f1,
+    sum(CASE WHEN y0 >= t.threshold THEN c2 ELSE 0 END) AS f2,
+    count(*) FILTER (WHERE y0 >= t.threshold AND Attrition = 'Yes') AS tp,
+    count(*) FILTER (WHERE y0 >= t.threshold AND Attrition <> 'Yes') AS fp
+  FROM (SELECT DISTINCT unnest(quantile_cont(Yes, [{probs}])) AS threshold FROM scored) t,
+       (SELECT p.*, s.Attrition FROM prc p JOIN scored s USING (EmployeeNumber)) x
+  GROUP BY t.threshold"""
+
+
+@query("v07_savings_binned_thresholds", with_ctes(
+    f"""SELECT threshold, {_R4}, round(s0, 2) AS total_expected_attrition_cost_0,
+  round(t1, 2) AS total_expected_attrition_cost_1, round(s0 - t1, 2) AS savings,
+  round((s0 - t1) / s0, 6) AS pct_savings FROM (
+  SELECT threshold, tnr, fnr, fpr, tpr, s0, (tpr + fnr) * (s0 - f0) + (tpr + fnr) * f1 + (tnr + fpr) * f2 AS t1
+  FROM (SELECT b.*, (N - fp) / N AS tnr, (P - tp) / P AS fnr, fp / N AS fpr, tp / P AS tpr FROM bins b,
+          (SELECT count(*) FILTER (WHERE Attrition = 'Yes') AS P, count(*) FILTER (WHERE Attrition <> 'Yes') AS N
+           FROM scored) tot) r) x""", _PRC, ("bins", _binned_sql(100)), scored=True))
+def v07_binned(spark, sf):
+    """V7 at the same bounded threshold set as the binned metrics table."""
+    s = staged_scored(spark, sf)
+    ts = ev.quantile_thresholds(s, "Yes", 100)
+    return money(pol.savings_binned(s, ev.metrics_binned(s, ts), ts))
