@@ -14,7 +14,9 @@ SAMPLE = ["d01_count_to_pct", "d04_attrition_workflow", "d05_cost_label_table",
           "r04_separate", "f05_currency_label", "f09_relevel", "e01_metrics_by_threshold", "e02_auc",
           "e11_gain_lift_deciles", "e12_gain_lift_16_groups", "v07_savings_all_thresholds",
           "v09_threshold_optimisation", "v12_sensitivity_grid", "g04_recommend_one_employee",
-          "m09_discretize", "d08_get_cor", "d13_histogram", "l01_split", "st01_stream_score_and_recommend"]
+          "m09_discretize", "d08_get_cor", "d13_histogram", "l01_split", "st01_stream_score_and_recommend",
+          "e01_metrics_by_threshold_binned", "v07_savings_binned_thresholds", "e14_dashboard_gain_lift",
+          "k04_per_row_table_function"]
 
 FULL = os.environ.get("TURNSTILE_FULL_ORACLE") == "1"
 SF = SF_ORACLE if FULL else SF_SMALL
