@@ -33,6 +33,9 @@ CAP = 2
 #: Rounds of the permutation, and steps that bring an index back in range.
 ROUNDS = 4
 WALK = 64
+#: Slots that are numbered from one row, and slots of a task.
+RUN = 4096
+TASK_SLOTS = 250_000
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
@@ -60,23 +63,33 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def permutation(df: DataFrame, k: str, n: str, key: list[str], out: str) -> DataFrame:
-    """Adds ``out``: where the permutation of 0..n-1 chosen by ``key`` takes ``k``."""
-    sided = df.withColumn("__side", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col(n).cast("double")))).cast("bigint"))
-    sided = sided.withColumn("__other", F.ceil(F.col(n) / F.col("__side")).cast("bigint"))
-    names = ", ".join(f"`{c}`" for c in key)
-
-    def once(x: str) -> str:
-        # one round is a row step, then a column step; each is undone by a subtraction, so the whole is one-to-one
-        for r in range(ROUNDS):
-            x = f"""transform(array({x}), x -> (x DIV __other + pmod(xxhash64({names}, {2 * r}, x % __other), __side)) % __side
-                * __other + x % __other)[0]"""
-            x = f"""transform(array({x}), x -> (x DIV __other) * __other
-                + (x % __other + pmod(xxhash64({names}, {2 * r + 1}, x DIV __other), __other)) % __other)[0]"""
-        return x
+    """Adds ``out``: where the permutation of 0..n-1 chosen by ``key`` takes ``k``.
 
-    first = sided.withColumn(out, F.expr(once(f"`{k}`")))
-    walked = f"aggregate(sequence(1, {WALK}), `{out}`, (y, i) -> CASE WHEN y < `{n}` THEN y ELSE {once('y')} END)"
-    return first.withColumn(out, F.expr(f"CASE WHEN `{out}` < `{n}` THEN `{out}` ELSE {walked} END")).drop("__side", "__other")
+    The numbers lie on a grid of about n cells; a round shifts the row by a
+    hash of the column, then the column by a hash of the row, and each shift
+    can be undone.  A cell beyond n (at most side - 1 are) is taken through the rounds
+    again until it lies within.
+    """
+    whole = df.columns
+    at = df.withColumn("__side", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col(n).cast("double")))).cast("bigint"))
+    at = at.withColumn("__other", F.ceil(F.col(n) / F.col("__side")).cast("bigint"))
+    at = at.withColumns({"__row": F.expr(f"`{k}` DIV __other"), "__col": F.expr(f"`{k}` % __other")})
+    names = ", ".join(f"`{c}`" for c in key)
+    step = {"__row": "(__row + pmod(xxhash64({0}, {1}, __col), __side)) % __side",
+            "__col": "(__col + pmod(xxhash64({0}, {1}, __row), __other)) % __other"}
+    for r in range(ROUNDS):
+        at = at.withColumn("__row", F.expr(step["__row"].format(names, 2 * r)))
+        at = at.withColumn("__col", F.expr(step["__col"].format(names, 2 * r + 1)))
+    at = at.withColumn("__cell", F.expr("__row * __other + __col"))
+    again = "y"
+    for r in range(ROUNDS):
+        again = f"""transform(array({again}), z -> (z DIV __other + pmod(xxhash64({names}, {2 * r}, z % __other), __side)) % __side
+            * __other + z % __other)[0]"""
+        again = f"""transform(array({again}), z -> (z DIV __other) * __other
+            + (z % __other + pmod(xxhash64({names}, {2 * r + 1}, z DIV __other), __other)) % __other)[0]"""
+    walked = f"aggregate(sequence(1, {WALK}), __cell, (y, i) -> CASE WHEN y < `{n}` THEN y ELSE {again} END)"
+    return at.withColumn(out, F.expr(f"CASE WHEN __cell < `{n}` THEN __cell ELSE {walked} END")).select(
+        *(c for c in whole if c != out), out)
 
 
 class Mix:
@@ -119,16 +132,23 @@ class Mix:
             lambda a, t: F.transform(F.array(binomial(a["left"], 1.0 / (shards - t), uniform(F.lit(seed), F.lit("shard"), F.col("source"), t))),
                                      lambda d: F.struct((a["left"] - d).alias("left"), F.concat(a["counts"], F.array(d)).alias("counts")))[0],
             lambda a: a["counts"])
-        shared = work.put(self.sources.where("slots > 0").select("s", "blocks", F.posexplode(dealt).alias("shard", "n")), "shares")
+        count, total = self.sources.agg(F.count("*"), F.coalesce(F.sum("slots"), F.lit(0))).first()
+        spread = self.sources.where("slots > 0").repartition(max(1, count // 4), "s")
+        shared = work.put(spread.select("s", "blocks", F.posexplode(dealt).alias("shard", "n")), "shares")
         ahead = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         numbered = shared.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0))).where("n > 0")
-        slot = numbered.select("s", "blocks", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("k"))
+        # a run of slots at a time to a task
+        runs = numbered.select("s", "blocks", "shard", (F.col("first") + F.col("n")).alias("end"),
+                               F.explode(F.expr(f"sequence(first, first + n - 1, {RUN})")).alias("from"))
+        runs = runs.repartition(max(1, int(total) // TASK_SLOTS), "s", "from")
+        slot = runs.select("s", "blocks", "shard", F.explode(F.expr(f"sequence(from, least(from + {RUN}, end) - 1)")).alias("k"))
         slot = slot.select("s", "blocks", "shard", F.expr("k DIV blocks").alias("turn"), F.expr("k % blocks").alias("k"), F.lit(seed).alias("seed"))
         self.slots = permutation(slot, "k", "blocks", ["seed", "s", "turn"], "block").select("s", "turn", "shard", "block")
 
     def taken(self) -> DataFrame:
         """One row per stretch of a document that the mix takes: __rid, turn, shard, at, words."""
-        return self.cover.join(self.slots, ["s", "block"]).select("__rid", "turn", "shard", "at", "words")
+        # neither side is small, whatever the plan thinks of rows that are made by explode
+        return self.cover.hint("merge").join(self.slots, ["s", "block"]).select("__rid", "turn", "shard", "at", "words")
 
     def report(self, id_name: str = "doc_id") -> DataFrame:
         """One row per input row: id, size, source_size, target, taken."""
