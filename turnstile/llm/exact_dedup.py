@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 from .workspace import Workspace
 
 #: Text bytes a claim task holds before it emits what it has.
-WINDOW_BYTES = 32 << 20
+WINDOW_BYTES = 16 << 20
 #: Text bytes one owner task indexes.
-OWNER_BYTES = 48 << 20
+OWNER_BYTES = 32 << 20
 #: Keys a bucket holds before it splits.
 BUCKET_KEYS = 512
 KEY_BITS = 64

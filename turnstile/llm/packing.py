@@ -52,7 +52,7 @@ BUNDLE = 1_000_000
 # fixed value: the vocabulary file's split pattern
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 #: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 
 
 class PieceIds(dict):
@@ -206,6 +206,7 @@ def _packer(id_type: pa.DataType, vocab: str, end_id: int, tiers: tuple[int, ...
                         keys, ids, held = [], [], 0
         if keys:
             yield block(keys, ids)
+        pieces.clear()  # the worker lives on and serves other stages
 
     return run
 
