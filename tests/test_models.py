@@ -45,3 +45,14 @@ def test_leaderboard_rejects_unknown_order(spark):
         md.leaderboard_long(board, "rmse")
     long = md.leaderboard_long(board, "logloss")
     assert long.count() == 6 and long.first()["model_id"].startswith("1. ")
+
+
+def test_split_reaches_every_residue(spark):
+    from turnstile.operators import models as md
+    ids = spark.range(-20000, 20000).withColumnRenamed("id", "EmployeeNumber")
+    test = md.split_train_test(ids)[1]
+    assert test.selectExpr("pmod(EmployeeNumber, 20) AS r").distinct().count() == 20
+    assert 0.14 < test.count() / 40000 < 0.16
+    assert 0 < test.where("EmployeeNumber < 0").count()
+    other = md.split_train_test(ids, seed=5)[1]
+    assert other.join(test, "EmployeeNumber").count() < 0.3 * test.count()

@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 SPLIT_SEED = 1234
-SPLIT_MODULUS = 1000003  # prime; keeps id * multiplier far from overflow
-SPLIT_MULTIPLIER = 7919
 
 
 def split_bucket(id_col: str = "EmployeeNumber", seed: int = SPLIT_SEED) -> F.Column:
-    """Deterministic 0..99 bucket of an integer id."""
-    return ((F.col(id_col) % SPLIT_MODULUS) * SPLIT_MULTIPLIER + seed) % 100
+    """Deterministic 0..99 bucket: first 32 bits of md5("seed:id") as a share of 100."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    part = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return F.floor(part * 100 / F.lit(1 << 32)).cast("int")
 
 
 def split_train_test(df: DataFrame, ratio: float = 0.85, id_col: str = "EmployeeNumber",
@@ -184,19 +184,22 @@ def automl(train: DataFrame, leaderboard_frame: DataFrame, folds: int = 5, budge
 def leaderboard_long(board: DataFrame, order_by: str = "auc", n_max: int = 20) -> DataFrame:
     """Top ``n_max`` models, id prefixed with its position, metrics long.
 
-    ``order_by`` must be "auc" (descending) or "logloss" (ascending)."""
+    ``order_by`` is "auc" or "logloss"."""
     order_by = order_by.lower()
     if order_by not in ("auc", "logloss"):
-        raise ValueError(f"order_by = '{order_by}' is not a permitted option.")
-    ranked = _pos_rank(board.drop("position"), order_by, desc=(order_by == "auc")).where(F.col("position") <= n_max)
-    ranked = ranked.withColumn("model_id", F.concat(F.col("position").cast("string"), F.lit(". "),
-                                                    F.col("model_id")))
+        raise ValueError(f"a leaderboard can be ordered by auc or logloss, not by {order_by!r}")
+    # the first n_max models of the leaderboard keep their place as prefix; level
+    # orders them by the metric, the best one last
+    ranked = board.where(F.col("position") <= n_max)
+    best_last = Window.orderBy(F.col(order_by).asc() if order_by == "auc" else F.col(order_by).desc(), "model_id")
+    ranked = ranked.withColumn("level", F.row_number().over(best_last))  # one row per model
+    ranked = ranked.withColumn("model_id", F.concat(F.col("position").cast("string"), F.lit(". "), F.col("model_id")))
     metrics = ["auc", "logloss", "aucpr", "mean_per_class_error", "rmse", "mse"]
-    return ranked.unpivot(["position", "model_id", "model_type"], metrics, "key", "value")
+    return ranked.unpivot(["position", "level", "model_id", "model_type"], metrics, "key", "value")
 
 
 def model_by_position(board: DataFrame, n: int = 1) -> str:
-    """O3/L5 ``extract_h2o_model_name_by_position``."""
+    """Id of the model in place ``n`` of the leaderboard."""
     return board.where(F.col("position") == n).select("model_id").first()[0]
 
 

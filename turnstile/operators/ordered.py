@@ -6,16 +6,16 @@ may hold a third of the rows, moves that whole group into one task.  The
 operators here avoid it:
 
 1. range-partition on (group keys, order keys) -- a hot group is split
-   across many partitions because the order keys separate its rows;
-2. sort within partitions and scan each partition once in a pandas batch
-   iterator (Arrow-batched), producing partition-local row numbers, running
-   sums and last-non-null values;
-3. aggregate one summary row per (partition, group) and, with a window over
-   that summary (at most one row per partition for any group), compute what
-   every partition must add from the partitions before it.  Only the first
-   group of a partition can continue from an earlier partition, so the
-   offset table has at most ``num_partitions`` rows -- a proven bound -- and
-   is broadcast.
+   across many partitions because the order keys separate its rows -- and
+   write the rows with the number of their range, so that every later step
+   sees the same ranges whatever the optimizer reuses or an executor loses;
+2. built-in windows within (range, group) give local row numbers, running
+   sums and last-non-null values; all values stay in their own types;
+3. aggregate one summary row per (range, group) and, with a window over
+   that summary (at most one row per range for any group), compute what
+   every range must add from the ranges before it.  Only the first group of
+   a range can continue from an earlier one, so the offset table has at most
+   ``num_partitions`` rows -- a proven bound -- and is broadcast.
 
 Ordering ties: rows equal on all order keys get an arbitrary relative order
 (as SQL ``row_number`` does); pass a unique tie-break key for determinism.
@@ -25,12 +25,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .joins import broadcast_if_small, materialize_lookup
+from .joins import broadcast_if_small, materialize_lookup, stage_table
 
 OrderSpec = Sequence[Column | str]
 
@@ -45,71 +44,13 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _sum_type(dt: T.DataType) -> T.DataType:
-    return T.LongType() if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) \
-        else T.DoubleType()
-
-
-def _local_scan(partition_by: list[str], sums: dict[str, str], fills: dict[str, str],
-                rn_col: str, sum_is_int: dict[str, bool]):
-    """Per-partition pandas scan; state carries across Arrow batches."""
-
-    def run(batches):
-        have_carry = False
-        carry_key: tuple = ()
-        carry_rn = 0
-        carry_sum = {o: 0 for o in sums}
-        carry_fill: dict = {o: None for o in fills}
-        pos = 0
-        for pdf in batches:
-            m = len(pdf)
-            if m == 0:
-                continue
-            if partition_by:
-                keys = pdf[partition_by]
-                prev = keys.shift(1)
-                same = ((keys == prev) | (keys.isna() & prev.isna())).all(axis=1)
-                first = tuple(keys.iloc[0])
-                first_same = have_carry and all(
-                    (a == b) or (pd.isna(a) and pd.isna(b)) for a, b in zip(first, carry_key))
-                change = ~same
-                change.iloc[0] = not first_same
-            else:
-                change = pd.Series(False, index=pdf.index)
-                change.iloc[0] = not have_carry
-            seg = change.astype("int64").cumsum()
-            cont = (seg == 0).to_numpy()
-            out = pdf.copy()
-            out["_lrn"] = range(pos, pos + m)
-            pos += m
-            rn = pdf.groupby(seg, sort=False).cumcount().to_numpy() + 1
-            rn[cont] += carry_rn
-            out[rn_col] = rn
-            for o, src in sums.items():
-                vals = pdf[src].astype("float64").fillna(0.0)
-                cs = vals.groupby(seg, sort=False).cumsum().to_numpy()
-                cs[cont] += carry_sum[o]
-                out[o] = cs.round().astype("int64") if sum_is_int[o] else cs
-            for o, src in fills.items():
-                ff = pdf[src].groupby(seg, sort=False).ffill()
-                if carry_fill[o] is not None and cont.any():
-                    head = ff[cont]
-                    ff.loc[head.index] = head.where(head.notna(), carry_fill[o])
-                out[o] = ff
-            last_cont = bool(cont[-1])
-            carry_key = tuple(pdf[partition_by].iloc[-1]) if partition_by else ()
-            carry_rn = int(rn[-1])
-            for o in sums:
-                carry_sum[o] = float(out[o].iloc[-1])
-            for o in fills:
-                v = out[o].iloc[-1]
-                if pd.isna(v):
-                    v = carry_fill[o] if last_cont else None
-                carry_fill[o] = None if v is None or (not isinstance(v, str) and pd.isna(v)) else v
-            have_carry = True
-            yield out
-
-    return run
+def _zero(dt: T.DataType) -> Column:
+    """Zero in the type that a sum of ``dt`` has."""
+    if isinstance(dt, T.DecimalType):
+        return F.lit(0).cast(T.DecimalType(min(38, dt.precision + 10), dt.scale))
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.lit(0).cast("long")
+    return F.lit(0.0)
 
 
 def ordered_scan(df: DataFrame, order_by: OrderSpec, partition_by: Sequence[str] = (),
@@ -119,38 +60,30 @@ def ordered_scan(df: DataFrame, order_by: OrderSpec, partition_by: Sequence[str]
     """Add row numbers / inclusive running sums / fill-down values.
 
     ``row_number``: output name for the 1-based position within the group.
-    ``sums``: ``{out: source}`` inclusive running sum (NULL counts as 0).
+    ``sums``: ``{out: source}`` inclusive running sum (NULL counts as 0),
+    exact for integers and decimals.
     ``fills``: ``{out: source}`` last non-NULL value so far (tidyr ``fill``).
     """
     sums, fills = dict(sums or {}), dict(fills or {})
     partition_by = list(partition_by)
-    rn_col = row_number or "_rn_tmp"
-    n = _num_partitions(df, num_partitions)
-    sort_exprs = [F.col(p).asc_nulls_first() for p in partition_by] + _sort_exprs(order_by)
-    # The partition id is taken from the range-partitioned data itself
-    # (``spark_partition_id``); a task id would be wrong under a union.
-    ranged = (df.repartitionByRange(n, *sort_exprs).sortWithinPartitions(*sort_exprs)
-              .withColumn("_pid", F.spark_partition_id()))
-
     schema = df.schema
-    fields = list(schema.fields) + [T.StructField("_pid", T.IntegerType(), False),
-                                    T.StructField("_lrn", T.LongType(), False),
-                                    T.StructField(rn_col, T.LongType(), False)]
-    sum_is_int = {}
-    for o, src in sums.items():
-        st = _sum_type(schema[src].dataType)
-        sum_is_int[o] = isinstance(st, T.LongType)
-        fields.append(T.StructField(o, st, True))
-    for o, src in fills.items():
-        fields.append(T.StructField(o, schema[src].dataType, True))
-    local = ranged.mapInPandas(_local_scan(partition_by, sums, fills, rn_col, sum_is_int),
-                               T.StructType(fields))
-
-    # One summary row per (partition, group); offsets for groups seen earlier.
-    aggs = [F.count(F.lit(1)).alias("_cnt")]
-    aggs += [F.sum(F.coalesce(F.col(src), F.lit(0))).alias(f"_tot_{o}") for o, src in sums.items()]
-    aggs += [F.max_by(F.col(src), F.when(F.col(src).isNotNull(), F.col("_lrn"))).alias(f"_last_{o}")
-             for o, src in fills.items()]
+    n = _num_partitions(df, num_partitions)
+    order = _sort_exprs(order_by)
+    keys = [F.col(p).asc_nulls_first() for p in partition_by]
+    ranged = df.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id())
+    ranged = stage_table(ranged, "ordered")
+
+    upto = Window.partitionBy("_pid", *partition_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    at = Window.partitionBy("_pid", *partition_by).orderBy(*order)
+    local = ranged.withColumns({
+        "_lrn": F.row_number().over(at).cast("long"),
+        **{f"_run_{o}": F.sum(F.coalesce(F.col(src), _zero(schema[src].dataType))).over(upto) for o, src in sums.items()},
+        **{f"_fill_{o}": F.last(F.col(src), ignorenulls=True).over(upto) for o, src in fills.items()}})
+
+    # One summary row per (range, group); offsets for groups seen earlier.
+    aggs = [F.max("_lrn").alias("_cnt")]
+    aggs += [F.max_by(F.col(f"_run_{o}"), "_lrn").alias(f"_tot_{o}") for o in sums]
+    aggs += [F.max_by(F.col(f"_fill_{o}"), "_lrn").alias(f"_last_{o}") for o in fills]
     summary = local.groupBy("_pid", *partition_by).agg(*aggs)
     w = Window.partitionBy(*partition_by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off_cols = [F.sum("_cnt").over(w).alias("_off_cnt")]
@@ -160,20 +93,31 @@ def ordered_scan(df: DataFrame, order_by: OrderSpec, partition_by: Sequence[str]
                               *[F.col(p).alias(f"_k_{i}") for i, p in enumerate(partition_by)],
                               *off_cols)
                .where(F.col("_off_cnt").isNotNull()))
-    # At most one row per range partition: bounded by n, so broadcasting is safe.
+    # At most one row per range: bounded by n, so broadcasting is safe.
     cond = F.col("_pid") == F.col("_opid")
     for i, p in enumerate(partition_by):
         cond = cond & F.col(p).eqNullSafe(F.col(f"_k_{i}"))
     joined = local.join(F.broadcast(offsets), cond, "left")
-    outs = {rn_col: (F.col(rn_col) + F.coalesce(F.col("_off_cnt"), F.lit(0))).cast("long")}
+    outs = {}
+    if row_number:
+        outs[row_number] = F.col("_lrn") + F.coalesce(F.col("_off_cnt"), F.lit(0).cast("long"))
     for o, src in sums.items():
-        outs[o] = (F.col(o) + F.coalesce(F.col(f"_off_{o}"), F.lit(0))).cast(
-            T.LongType() if sum_is_int[o] else T.DoubleType())
+        zero = _zero(schema[src].dataType)
+        kind = f"decimal({zero_type.precision},{zero_type.scale})" if isinstance(
+            zero_type := _sum_type(schema[src].dataType), T.DecimalType) else zero_type.simpleString()
+        outs[o] = (F.col(f"_run_{o}") + F.coalesce(F.col(f"_off_{o}"), zero)).cast(kind)
     for o in fills:
-        outs[o] = F.coalesce(F.col(o), F.col(f"_carry_{o}"))
-    res = joined.withColumns(outs)
-    keep = list(schema.names) + ([rn_col] if row_number else []) + list(sums) + list(fills)
-    return res.select(*keep)
+        outs[o] = F.coalesce(F.col(f"_fill_{o}"), F.col(f"_carry_{o}"))
+    kept = [c for c in schema.names if c not in outs]
+    order_out = [*schema.names, *(c for c in outs if c not in schema.names)]
+    return joined.select(*kept, *[v.alias(k) for k, v in outs.items()]).select(*order_out)
+
+
+def _sum_type(dt: T.DataType) -> T.DataType:
+    """The type of a sum: long for integers, a wider decimal for decimals, else double."""
+    if isinstance(dt, T.DecimalType):
+        return T.DecimalType(min(38, dt.precision + 10), dt.scale)
+    return T.LongType() if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else T.DoubleType()
 
 
 def row_number(df: DataFrame, order_by: OrderSpec, partition_by: Sequence[str] = (),

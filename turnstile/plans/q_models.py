@@ -33,15 +33,26 @@ def automl_result(spark, sf) -> md.AutoMLResult:
     return _CACHE[k]
 
 
+# DuckDB's form of the split bucket
+_BUCKET = f"""floor(CAST('0x' || substr(md5('{md.SPLIT_SEED}:' || CAST(EmployeeNumber AS VARCHAR)), 1, 8) AS BIGINT) * 100 / 4294967296.0)"""
+
+
 @query("l01_split", with_ctes(
-    f"""SELECT EmployeeNumber, CASE WHEN ((EmployeeNumber % {md.SPLIT_MODULUS}) * {md.SPLIT_MULTIPLIER}
-  + {md.SPLIT_SEED}) % 100 < 85 THEN 'train' ELSE 'test' END AS split FROM hr"""))
+    f"""SELECT EmployeeNumber, CASE WHEN {_BUCKET} < 85 THEN 'train' ELSE 'test' END AS split FROM hr"""))
 def l01(spark, sf):
     hr = people(spark, sf).select("EmployeeNumber")
     b = md.split_bucket("EmployeeNumber")
     return hr.select("EmployeeNumber", F.when(b < 85, "train").otherwise("test").alias("split"))
 
 
+@query("l01_split_three", with_ctes(
+    f"""SELECT EmployeeNumber, CASE WHEN {_BUCKET} < 70 THEN 'train' WHEN {_BUCKET} < 85 THEN 'valid' ELSE 'test' END AS split FROM hr"""))
+def l01_three(spark, sf):
+    parts = md.split_three(people(spark, sf).select("EmployeeNumber"))
+    named = [p.withColumn("split", F.lit(n)) for p, n in zip(parts, ("train", "valid", "test"))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
 @query("l02_automl_leaderboard")
 def l02(spark, sf):
     return automl_result(spark, sf).leaderboard
