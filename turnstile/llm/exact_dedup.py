@@ -210,7 +210,7 @@ class ExactDedup:
                           T.StructField("sha", T.StringType()), T.StructField("copies", T.LongType()),
                           T.StructField("n_bytes", T.LongType()), T.StructField("text", T.BinaryType())]))
         claims = self.work.put(claims, "claims")
-        self.members = claims.select("rid", "id", "rep")
+        self.members = self.work.put(claims.select("rid", "id", "rep"), "members")
         total = claims.agg(F.sum("n_bytes")).first()[0] or 0
         range_bits = max(0, (int(total) // owner_bytes).bit_length())
         range_bits = min(range_bits, key_bits - 1, 20)
@@ -227,6 +227,7 @@ class ExactDedup:
                           T.StructField("bucket", T.LongType()), T.StructField("depth", T.IntegerType()),
                           T.StructField("link", T.IntegerType())]))
         self.index = self.work.put(index, "index")
+        self.work.drop("claims")
 
     def assign(self, id_name: str = "doc_id") -> DataFrame:
         """One row per input row: id, keep_id, group_size, kept, text_sha256."""
@@ -234,13 +235,10 @@ class ExactDedup:
         out = self.members.join(found, "rep").select(
             F.col("id").alias(id_name), "keep_id", "group_size",
             (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"))
-        out = self.work.put(out, "answer")
-        self.work.drop("claims")
-        return out
+        return self.work.put(out, "answer")
 
     def kept(self) -> DataFrame:
         """The rows that stay, with all their columns (needs ``carry``)."""
         gone = self.members.join(self.index.select("rep", "keep_rid"), "rep").where("rid <> keep_rid").select("rid")
         gone = self.work.put(gone.withColumnRenamed("rid", "__rid"), "gone")
-        self.work.drop("claims")
         return self.rows.join(gone, "__rid", "left_anti").select(*self.columns)
