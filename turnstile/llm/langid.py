@@ -30,6 +30,8 @@ HIDDEN = 6
 WINDOW = 128
 #: Windows that run side by side.
 ROWS = 2048
+#: Texts that a task labels before it hands them on.
+SLICE = 1024
 PER_LANGUAGE = 200
 SNIPPET = 512
 TRAIN_WINDOW = 64
@@ -255,7 +257,8 @@ def label(df: DataFrame, net: Network | None, text_col: str = "text", pred: str
     keep = [i for i, c in enumerate(df.columns) if c not in (pred, score)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        parts = (batch.slice(i, SLICE) for batch in batches for i in range(0, batch.num_rows, SLICE))
+        for batch in parts:
             names, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
             which, texts = [], []
             for i, t in enumerate(batch.column(at)):

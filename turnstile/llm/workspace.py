@@ -7,10 +7,30 @@ and a lost executor costs only the tasks that were running on it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 
+#: Bytes of an Arrow batch that a task hands to Python, unless the session names a number.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside hand Python ``BATCH_BYTES`` at a time: long texts don't add up to large batches."""
+    if spark.conf.get(_BATCH_CONF, None) is not None:
+        yield
+        return
+    spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_CONF)
+
 
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete ``path`` through the file system that holds it."""
@@ -28,7 +48,8 @@ class Workspace:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
