@@ -1,5 +1,7 @@
 """Models: deterministic split, planted-signal quality, leaderboard input check."""
 
+import math
+
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
@@ -56,3 +58,76 @@ def test_split_reaches_every_residue(spark):
     assert 0 < test.where("EmployeeNumber < 0").count()
     other = md.split_train_test(ids, seed=5)[1]
     assert other.join(test, "EmployeeNumber").count() < 0.3 * test.count()
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    hr = score_columns(people(spark, SF_SMALL))
+    med = hr.approxQuantile("Yes", [0.5], 0.0)[0]
+    data = hr.withColumn("Attrition", F.when(F.col("Yes") > med, "Yes").otherwise("No")).drop("Yes", "No")
+    train, test = md.split_train_test(data)
+    return train, test, md.automl(train, test, folds=3)
+
+
+def test_ensembles_are_models_of_the_board(spark, trained):
+    train, test, result = trained
+    board = {r["model_id"]: r for r in result.leaderboard.collect()}
+    assert set(board) == set(result.models)
+    for name in ("StackedEnsemble_AllModels_AutoML", "StackedEnsemble_BestOfFamily_AutoML"):
+        assert board[name]["auc"] > 0.8
+        loaded = md.load_model(md.save_model(result.models[name], name, spark))
+        here = {r[0]: r["Yes"] for r in md.predict(result.models[name], test).collect()}
+        there = {r[0]: r["Yes"] for r in md.predict(loaded, test).collect()}
+        assert here.keys() == there.keys() and all(abs(here[k] - there[k]) < 1e-12 for k in here)
+    # one base per grid point against one per family
+    assert [len(result.models[f"StackedEnsemble_{n}_AutoML"].stages[-1].coefficients) for n in ("AllModels", "BestOfFamily")] == [5, 4]
+
+
+def logloss(y, p):
+    clipped = [min(max(q, 1e-15), 1 - 1e-15) for q in p]
+    return -sum(math.log(q if t else 1 - q) for t, q in zip(y, clipped)) / len(y)
+
+
+def auc(y, p):
+    """Share of (positive, negative) pairs in the right order, ties half."""
+    pos, neg = [q for t, q in zip(y, p) if t], [q for t, q in zip(y, p) if not t]
+    return sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+
+
+def test_board_metrics_from_scores(trained):
+    _, test, result = trained
+    for row in result.leaderboard.collect():
+        got = md.predict(result.models[row["model_id"]], test, keep=["Attrition"]).collect()
+        y, p = [r["Attrition"] == "Yes" for r in got], [r["Yes"] for r in got]
+        assert abs(logloss(y, p) - row["logloss"]) < 1e-9
+        assert abs(auc(y, p) - row["auc"]) < 1e-9
+
+
+def test_fold_metrics_average_to_cv_auc(trained):
+    train, _, result = trained
+    folds = md.fold_metrics(result, train, folds=3).groupBy("model_id").agg(F.avg("auc").alias("auc")).collect()
+    board = {r["model_id"]: r["cv_auc"] for r in result.leaderboard.collect()}
+    assert len(folds) == 5 and all(abs(board[r["model_id"]] - r["auc"]) < 1e-6 for r in folds)
+
+
+def test_missing_numbers_score_as_the_median(spark, trained):
+    _, test, result = trained
+    gaps = test.withColumn("Age", F.lit(None).cast("int")).withColumn("JobRole", F.lit(None).cast("string"))
+    for model in result.models.values():
+        p = md.predict(model, gaps)
+        assert p.count() == test.count() and p.where("Yes IS NULL OR isnan(Yes)").isEmpty()
+
+
+def test_params_tell_set_from_default(trained):
+    rows = {r["param"]: r["is_set"] for r in md.model_params(trained[2].models["GLM_2_AutoML"], "m").collect()}
+    assert rows["maxIter"] and rows["regParam"] and not rows["fitIntercept"]
+
+
+def test_long_board_keeps_places(spark):
+    board = spark.createDataFrame(
+        [("a", "GLM", 0.9, 0.5, 0.1, 0.1, 0.1, 0.1, 0.9, 0.9, 1), ("b", "GBM", 0.8, 0.3, 0.1, 0.1, 0.1, 0.1, 0.9, 0.9, 2)],
+        "model_id string, model_type string, auc double, logloss double, aucpr double, mean_per_class_error double, "
+        "rmse double, mse double, train_auc double, cv_auc double, position int")
+    got = {(r["model_id"], r["level"]) for r in md.leaderboard_long(board, "logloss").collect()}
+    assert got == {("1. a", 1), ("2. b", 2)}
+    assert {r["model_id"] for r in md.leaderboard_long(board, "logloss", n_max=1).collect()} == {"1. a"}

@@ -3,9 +3,10 @@
 * L1 split: a deterministic hash of the id (not ``randomSplit``), so the
   split does not depend on partitioning and survives recomputation.
 * L2-L4 "automl": a fixed list of model families, each tuned by
-  ``CrossValidator`` (k folds, parallel fits on the cluster), plus a stacked
-  ensemble (logistic meta-model on the base models' probabilities).  An
-  optional wall-clock budget is checked between families.
+  ``CrossValidator`` over folds that a hash of the id fixes; every grid point
+  is a model of the leaderboard.  Two stacked ensembles (all models, best of
+  each family) learn from out-of-fold scores only.  An optional wall-clock
+  budget is checked between families.
 * L5/L6 leaderboard and its long form; L7 predictions with the id kept;
   L8 grid search; L9 cross-validation metrics; L10 parameters.
 * S5/S6: ``PipelineModel`` save/load in the shared checkpoint folder and a
@@ -14,15 +15,16 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
@@ -66,14 +68,17 @@ NUMERIC = ["Age", "DistanceFromHome", "MonthlyIncome", "JobLevel", "StockOptionL
 def feature_stages(categorical: Sequence[str] = CATEGORICAL, numeric: Sequence[str] = NUMERIC,
                    label: str = "Attrition", positive: str = "Yes"):
     """Index + one-hot the categories, assemble a feature vector, index the
-    label so that ``positive`` is 1.0.  The id column is not a predictor."""
+    label so that ``positive`` is 1.0.  The id column is not a predictor.
+    A missing category is a level of its own; a missing number becomes the
+    training median."""
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep") for c in categorical]
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in categorical],
                         outputCols=[f"{c}__ohe" for c in categorical], dropLast=True, handleInvalid="keep")
-    asm = VectorAssembler(inputCols=[f"{c}__ohe" for c in categorical] + list(numeric), outputCol="features",
-                          handleInvalid="keep")
+    imp = Imputer(inputCols=list(numeric), outputCols=[f"{c}__num" for c in numeric], strategy="median")
+    asm = VectorAssembler(inputCols=[f"{c}__ohe" for c in categorical] + [f"{c}__num" for c in numeric],
+                          outputCol="features")
     lab = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc")
-    return [*idx, ohe, asm, lab], positive
+    return [*idx, ohe, imp, asm, lab], positive
 
 
 def families(n_features: int, seed: int = SPLIT_SEED) -> list[tuple[str, object, list]]:
@@ -97,11 +102,16 @@ def p_yes(pred: DataFrame) -> DataFrame:
                .withColumn("No", vector_to_array("probability")[0])
 
 
+def ranking(metric: str) -> BinaryClassificationEvaluator:
+    """Area under a curve over the probabilities that ``predict`` returns (equal
+    ones tie, where raw margins may differ), at every distinct score."""
+    return BinaryClassificationEvaluator(metricName=metric, rawPredictionCol="probability", numBins=0)
+
+
 def score_metrics(pred: DataFrame) -> dict[str, float]:
     """auc, aucpr, logloss, rmse, mse, mean_per_class_error at 0.5 (one pass
     + two evaluator passes)."""
-    ev_roc = BinaryClassificationEvaluator(metricName="areaUnderROC", rawPredictionCol="rawPrediction")
-    ev_pr = BinaryClassificationEvaluator(metricName="areaUnderPR", rawPredictionCol="rawPrediction")
+    ev_roc, ev_pr = ranking("areaUnderROC"), ranking("areaUnderPR")
     p = p_yes(pred)
     y = F.col("label")
     pc = F.least(F.greatest(F.col("Yes"), F.lit(1e-15)), F.lit(1 - 1e-15))
@@ -117,10 +127,12 @@ def score_metrics(pred: DataFrame) -> dict[str, float]:
 
 @dataclass
 class AutoMLResult:
+    """``models`` holds every model of the leaderboard, ensembles included;
+    ``fold_models`` the cross-validation models of each one that is no ensemble."""
     leaderboard: DataFrame
     models: dict[str, PipelineModel] = field(default_factory=dict)
-    cv: dict[str, object] = field(default_factory=dict)
     types: dict[str, str] = field(default_factory=dict)
+    fold_models: dict[str, list[PipelineModel]] = field(default_factory=dict)
 
 
 def _pos_rank(df: DataFrame, order_col: str, desc: bool) -> DataFrame:
@@ -128,57 +140,93 @@ def _pos_rank(df: DataFrame, order_col: str, desc: bool) -> DataFrame:
     return df.withColumn("position", F.row_number().over(w))  # one row per model
 
 
+def fold_of(id_col: str, folds: int, seed: int = SPLIT_SEED) -> F.Column:
+    """Cross-validation fold 0..folds-1 of a row, by a hash of its id."""
+    digest = F.md5(F.concat(F.lit(f"fold:{seed}:"), F.col(id_col).cast("string")))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
+
+
+def _base_stages(bases: Sequence[tuple[str, Model]]) -> list:
+    """Stages that score one frame by each base model in turn (no joins) and
+    gather the positive probabilities in ``base_scores``."""
+    stages: list = []
+    for i, (_, model) in enumerate(bases):
+        own = model.copy()
+        own.setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_prob{i}").setPredictionCol(f"_pred{i}")
+        stages += [own, VectorSlicer(inputCol=f"_prob{i}", outputCol=f"_yes{i}", indices=[1])]
+    return [*stages, VectorAssembler(inputCols=[f"_yes{i}" for i in range(len(bases))], outputCol="base_scores")]
+
+
+def _out_of_fold(tr: DataFrame, fold_bases: Sequence[Sequence[tuple[str, Model]]]) -> DataFrame:
+    """(label, base_scores): each row scored by the models that did not see its fold."""
+    parts = [PipelineModel(stages=_base_stages(bases)).transform(tr.where(F.col("fold") == k))
+             .select("label", "base_scores") for k, bases in enumerate(fold_bases)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def automl(train: DataFrame, leaderboard_frame: DataFrame, folds: int = 5, budget_sec: float | None = None,
-           seed: int = SPLIT_SEED, parallelism: int = 4) -> AutoMLResult:
-    """L2-L4: fit every family with k-fold CV, add a stacked ensemble, rank."""
+           seed: int = SPLIT_SEED, parallelism: int = 4, id_col: str = "EmployeeNumber") -> AutoMLResult:
+    """Fit every family with k-fold CV, add the stacked ensembles, rank.
+
+    The leaderboard has ``auc`` on ``leaderboard_frame``, ``train_auc`` and
+    ``cv_auc`` (mean over the folds; NULL for ensembles, which are fitted on
+    out-of-fold scores and have no folds of their own).
+    """
     stages, _ = feature_stages()
     prep = Pipeline(stages=stages).fit(train)
-    tr = prep.transform(train).select("EmployeeNumber", "features", "label").cache()
-    lb = prep.transform(leaderboard_frame).select("EmployeeNumber", "features", "label").cache()
+    tr = prep.transform(train.withColumn("fold", fold_of(id_col, folds, seed))).select("features", "label", "fold").cache()
+    lb = prep.transform(leaderboard_frame).select("features", "label").cache()
     n_features = len(tr.first()["features"])
-    evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC")
-    spark = train.sparkSession
-    rows, models, cvs, types = [], {}, {}, {}
+    evaluator = ranking("areaUnderROC")
+    rows, models, types, fold_models = [], {}, {}, {}
+    bases: dict[str, Model] = {}
+    subs: dict[str, list[Model]] = {}
+    best_of: dict[str, str] = {}
+
+    def add(mid: str, mtype: str, head: list, model: Model, cv_auc: float | None) -> None:
+        scorer = PipelineModel(stages=[*head, model])
+        m = score_metrics(scorer.transform(lb))
+        rows.append((mid, mtype, m["auc"], m["logloss"], m["aucpr"], m["mean_per_class_error"], m["rmse"],
+                     m["mse"], evaluator.evaluate(scorer.transform(tr)), cv_auc))
+        models[mid], types[mid] = PipelineModel(stages=[*prep.stages, *head, model]), mtype
+
     start = time.time()
-    base_preds = []
-    for i, (mtype, est, grid) in enumerate(families(n_features, seed)):
+    for mtype, est, grid in families(n_features, seed):
         if budget_sec is not None and time.time() - start > budget_sec and rows:
             break
-        cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds,
-                            seed=seed, parallelism=parallelism, collectSubModels=False)
-        cvm = cv.fit(tr)
-        mid = f"{mtype}_1_AutoML_{i + 1}"
-        full = PipelineModel(stages=[*prep.stages, cvm.bestModel])
-        pred = cvm.bestModel.transform(lb)
-        m = score_metrics(pred)
-        rows.append((mid, mtype, m["auc"], m["logloss"], m["aucpr"], m["mean_per_class_error"],
-                     m["rmse"], m["mse"], float(max(cvm.avgMetrics))))
-        models[mid], cvs[mid], types[mid] = full, cvm, mtype
-        base_preds.append((mid, cvm.bestModel))
-    # L4 stacked ensemble: logistic meta-model on the base probabilities
-    if len(base_preds) >= 2:
-        def stack(frame):
-            out = frame.select("EmployeeNumber", "label")
-            for mid, bm in base_preds:
-                p = bm.transform(frame).select("EmployeeNumber",
-                                               vector_to_array("probability")[1].alias(f"p_{mid}"))
-                out = out.join(p, "EmployeeNumber")
-            return VectorAssembler(inputCols=[f"p_{m}" for m, _ in base_preds],
-                                   outputCol="features").transform(out)
-        meta = LogisticRegression(maxIter=50).fit(stack(tr))
-        pred = meta.transform(stack(lb))
-        m = score_metrics(pred)
-        mid = "StackedEnsemble_AllModels_AutoML"
-        rows.append((mid, "StackedEnsemble", m["auc"], m["logloss"], m["aucpr"], m["mean_per_class_error"],
-                     m["rmse"], m["mse"], None))
-        types[mid] = "StackedEnsemble"
-    board = spark.createDataFrame(rows, "model_id string, model_type string, auc double, logloss double, "
-                                        "aucpr double, mean_per_class_error double, rmse double, mse double, "
-                                        "cv_auc double")
+        cvm = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds, seed=seed,
+                             parallelism=parallelism, collectSubModels=True, foldCol="fold").fit(tr)
+        best = max(range(len(grid)), key=lambda g: cvm.avgMetrics[g])
+        for g, params in enumerate(grid):
+            mid = f"{mtype}_{g + 1}_AutoML"
+            bases[mid] = cvm.bestModel if g == best else est.fit(tr, params)
+            subs[mid] = [cvm.subModels[k][g] for k in range(folds)]
+            fold_models[mid] = [PipelineModel(stages=[*prep.stages, sub]) for sub in subs[mid]]
+            add(mid, mtype, [], bases[mid], float(cvm.avgMetrics[g]))
+        best_of[mtype] = f"{mtype}_{best + 1}_AutoML"
+    for name, chosen in (("AllModels", list(bases)), ("BestOfFamily", list(best_of.values()))):
+        if len(chosen) < 2:
+            continue
+        held_out = _out_of_fold(tr, [[(mid, subs[mid][k]) for mid in chosen] for k in range(folds)])
+        meta = LogisticRegression(maxIter=50, featuresCol="base_scores").fit(held_out)
+        add(f"StackedEnsemble_{name}_AutoML", "StackedEnsemble", _base_stages([(mid, bases[mid]) for mid in chosen]),
+            meta, None)
+    board = train.sparkSession.createDataFrame(
+        rows, "model_id string, model_type string, auc double, logloss double, aucpr double, "
+              "mean_per_class_error double, rmse double, mse double, train_auc double, cv_auc double")
     board = _pos_rank(board, "auc", desc=True)
     tr.unpersist()
     lb.unpersist()
-    return AutoMLResult(board, models, cvs, types)
+    return AutoMLResult(board, models, types, fold_models)
+
+
+def fold_metrics(result: AutoMLResult, train: DataFrame, folds: int = 5, seed: int = SPLIT_SEED,
+                 id_col: str = "EmployeeNumber") -> DataFrame:
+    """(model_id, fold, auc) of the cross-validation models, each on the fold it did not see."""
+    evaluator = ranking("areaUnderROC")
+    rows = [(mid, k, evaluator.evaluate(sub.transform(train.where(fold_of(id_col, folds, seed) == k))))
+            for mid, models in result.fold_models.items() for k, sub in enumerate(models)]
+    return train.sparkSession.createDataFrame(rows, "model_id string, fold int, auc double")
 
 
 def leaderboard_long(board: DataFrame, order_by: str = "auc", n_max: int = 20) -> DataFrame:
@@ -203,11 +251,11 @@ def model_by_position(board: DataFrame, n: int = 1) -> str:
     return board.where(F.col("position") == n).select("model_id").first()[0]
 
 
-def predict(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Id + predicted class + P(No) + P(Yes)."""
+def predict(model: PipelineModel, df: DataFrame, threshold: float = 0.5, keep: Sequence[str] = ()) -> DataFrame:
+    """Id + predicted class + P(No) + P(Yes), and the columns ``keep`` of ``df``."""
     p = p_yes(model.transform(df))
     return p.select("EmployeeNumber", F.when(F.col("Yes") >= threshold, "Yes").otherwise("No").alias("predict"),
-                    "No", "Yes")
+                    "No", "Yes", *keep)
 
 
 def grid_search_mlp(train: DataFrame, hidden: Sequence[Sequence[int]], epochs: Sequence[int], folds: int = 5,
@@ -220,7 +268,7 @@ def grid_search_mlp(train: DataFrame, hidden: Sequence[Sequence[int]], epochs: S
     mlp = MultilayerPerceptronClassifier(seed=seed)
     grid = (ParamGridBuilder().addGrid(mlp.layers, [[nf, *h, 2] for h in hidden])
             .addGrid(mlp.maxIter, list(epochs)).build())
-    cvm = CrossValidator(estimator=mlp, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(),
+    cvm = CrossValidator(estimator=mlp, estimatorParamMaps=grid, evaluator=ranking("areaUnderROC"),
                          numFolds=folds, seed=seed, parallelism=4).fit(tr)
     rows = []
     for i, (pm, metric) in enumerate(zip(grid, cvm.avgMetrics)):
@@ -233,12 +281,12 @@ def grid_search_mlp(train: DataFrame, hidden: Sequence[Sequence[int]], epochs: S
 
 
 def model_params(model: PipelineModel, model_id: str) -> DataFrame:
-    """Every parameter of the final estimator (set and default)."""
+    """Every parameter of the final estimator; ``is_set`` tells those given from defaults."""
     from pyspark.sql import SparkSession
     last = model.stages[-1]
-    rows = [(model_id, p.name, str(v)) for p, v in last.extractParamMap().items()]
+    rows = [(model_id, p.name, str(v), last.isSet(p)) for p, v in last.extractParamMap().items()]
     spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(rows, "model_id string, param string, value string")
+    return spark.createDataFrame(rows, "model_id string, param string, value string, is_set boolean")
 
 
 def save_model(model: PipelineModel, model_id: str, spark) -> str:

@@ -3,13 +3,13 @@ explanations (X1-X8).  Model-based outputs have no SQL oracle (rows-only)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import explain as xp
 from ..operators import models as md
-from ..sources.people import attrition_score, people
+from ..sources.people import people
 from .registry import query
 from .sql import with_ctes
 
@@ -83,11 +83,10 @@ def l06b(spark, sf):
     return md.leaderboard_long(automl_result(spark, sf).leaderboard, "logloss")
 
 
-def _best_single(spark, sf):
+def leader(spark, sf):
+    """Id and model in the first place of the leaderboard (an ensemble too)."""
     r = automl_result(spark, sf)
-    board = r.leaderboard.where(F.col("model_type") != "StackedEnsemble")
-    w = Window.orderBy(F.col("auc").desc(), "model_id")  # one row per model
-    mid = md.model_by_position(board.drop("position").withColumn("position", F.row_number().over(w)), 1)
+    mid = md.model_by_position(r.leaderboard, 1)
     return mid, r.models[mid]
 
 
@@ -95,13 +94,13 @@ def max_f1_threshold(spark, sf, model) -> float:
     """Class threshold = the one maximising F1 on the training predictions
     (the label rule of the source's predictions)."""
     train, _ = splits(spark, sf)
-    p = md.predict(model, train).join(train.select("EmployeeNumber", "Attrition"), "EmployeeNumber")
+    p = md.predict(model, train, keep=["Attrition"])
     return ev.max_metric_row(ev.metrics_by_threshold(p), "f1").first()["threshold"]
 
 
 @query("l07_predict")
 def l07(spark, sf):
-    _, model = _best_single(spark, sf)
+    _, model = leader(spark, sf)
     _, test = splits(spark, sf)
     return md.predict(model, test, threshold=max_f1_threshold(spark, sf, model))
 
@@ -114,18 +113,24 @@ def l08(spark, sf):
 
 @query("l09_cross_validation_metrics")
 def l09(spark, sf):
-    return automl_result(spark, sf).leaderboard.select("model_id", "cv_auc", F.col("auc").alias("valid_auc"))
+    return automl_result(spark, sf).leaderboard.select("model_id", "train_auc", F.col("auc").alias("valid_auc"), "cv_auc")
+
+
+@query("l09_fold_metrics")
+def l09_folds(spark, sf):
+    train, _ = splits(spark, sf)
+    return md.fold_metrics(automl_result(spark, sf), train, folds=5)
 
 
 @query("l10_model_params")
 def l10(spark, sf):
-    mid, model = _best_single(spark, sf)
+    mid, model = leader(spark, sf)
     return md.model_params(model, mid)
 
 
 @query("s05_model_save_load")
 def s05(spark, sf):
-    mid, model = _best_single(spark, sf)
+    mid, model = leader(spark, sf)
     path = md.save_model(model, mid, spark)
     _, test = splits(spark, sf)
     return md.predict(md.load_model(path), test)
@@ -141,8 +146,7 @@ def s06(spark, sf):
     _, test = splits(spark, sf)
     scored_parts = []
     for row in registry.collect():  # one row per saved model
-        p = md.predict(md.load_model(row["path"]), test).join(test.select("EmployeeNumber", "Attrition"),
-                                                              "EmployeeNumber")
+        p = md.predict(md.load_model(row["path"]), test, keep=["Attrition"])
         scored_parts.append(p.select(F.lit(row["model_id"]).alias("model_id"), "Attrition",
                                      F.col("Yes").alias("score")))
     allp = scored_parts[0]
@@ -154,18 +158,12 @@ def s06(spark, sf):
 
 # ---------------------------------------------------------------- X: explanations
 
-X_NUMERIC = ["YearsAtCompany", "DistanceFromHome", "JobSatisfaction", "Age", "MonthlyIncome", "JobLevel",
-             "WorkLifeBalance"]
-X_CATEGORICAL = ["OverTime"]
+X_NUMERIC = md.NUMERIC
+X_CATEGORICAL = md.CATEGORICAL
 X_FEATURES = X_CATEGORICAL + X_NUMERIC
 N_CASES = 20
 
 
-def _predict(df: DataFrame):
-    return attrition_score(F.col("OverTime"), F.col("YearsAtCompany"), F.col("DistanceFromHome"),
-                           F.col("JobSatisfaction"))
-
-
 def explainer(spark, sf) -> DataFrame:
     train, _ = splits(spark, sf)
     return xp.fit_explainer(train.select(*X_FEATURES), X_NUMERIC, X_CATEGORICAL)
@@ -179,8 +177,8 @@ def explanation(spark, sf) -> DataFrame:
         head = test.orderBy("EmployeeNumber").limit(N_CASES).select("EmployeeNumber", *X_FEATURES)
         from ..operators.ordered import row_number
         cases = row_number(head, ["EmployeeNumber"], out="case", num_partitions=1)
-        ex = xp.explain(cases, explainer(spark, sf), X_FEATURES, _predict, n_permutations=5000,
-                        n_features=8, kernel_width=1.0)
+        ex = xp.explain(cases, explainer(spark, sf), X_FEATURES, leader(spark, sf)[1],
+                        n_permutations=5000, n_features=8, kernel_width=1.0)
         _CACHE[k] = ex.checkpoint()  # cut the lineage: later X queries reuse it
     return _CACHE[k]
 
