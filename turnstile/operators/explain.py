@@ -4,8 +4,8 @@ X1 fit: per numeric feature, exact quantile bins (4) and their training
 frequencies; per categorical feature, level frequencies.  The explainer is
 a small table (bins x features).
 
-X2/X3 explain: every case is expanded to ``n_permutations`` rows with
-``explode(sequence)``; each feature of each row is drawn from the training
+X2/X3 explain: every case is expanded to ``n_permutations`` rows, in chunks
+that are dealt over the cluster before they are expanded; each feature of each row is drawn from the training
 distribution with a uniform derived from a hash of (seed, case, permutation,
 feature) -- so results do not depend on partitioning or retries.  Row 1 of
 every case is the case itself.  The binary representation z_j marks a draw
@@ -23,14 +23,18 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .models import p_yes
 from .ordered import average_rank, exact_quantiles
 
 N_BINS = 4
 RIDGE_LAMBDA = 0.001
+#: Permutations of one case that a task expands at once.
+CHUNK = 500
 _U_SCALE = float(2 ** 31)
 
 
@@ -90,16 +94,29 @@ def _bin_of(x: Column, cuts: list[float]) -> Column:
     return b
 
 
+Predictor = Callable[[DataFrame], Column] | PipelineModel
+
+
+def positive_score(df: DataFrame, predict: Predictor, out: str) -> DataFrame:
+    """``df`` with P(Yes) by a fitted pipeline or by a function that gives a Column."""
+    if isinstance(predict, PipelineModel):
+        return p_yes(predict.transform(df)).select(*df.columns, F.col("Yes").alias(out))
+    return df.withColumn(out, predict(df))
+
+
 def permutations(cases: DataFrame, explainer_rows: list, features: Sequence[str], n_permutations: int,
-                 seed: int) -> DataFrame:
-    """Case x permutation rows with drawn feature values and z indicators."""
+                 seed: int, keep: Sequence[str] = ()) -> DataFrame:
+    """Case x permutation rows with drawn feature values and z indicators; ``keep`` names columns of the case."""
     spec: dict[str, dict] = {}
     for r in explainer_rows:
         d = spec.setdefault(r["feature"], {"kind": r["kind"], "rows": []})
         d["rows"].append(r)
-    rows = cases.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_permutations))).alias("perm"))
+    parts = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = cases.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_permutations), F.lit(CHUNK))).alias("_from"))
+    last = F.least(F.col("_from") + CHUNK - 1, F.lit(n_permutations))
+    rows = chunks.repartition(parts, "case", "_from").select("*", F.explode(F.sequence("_from", last)).alias("perm"))
     first = F.col("perm") == 1
-    out_cols = [F.col("case"), F.col("perm")]
+    out_cols = [F.col("case"), F.col("perm"), *(F.col(c) for c in keep)]
     z_cols = []
     for j, f in enumerate(features):
         d = spec[f]
@@ -174,19 +191,18 @@ def _solve(pdf: pd.DataFrame, p: int, n_select: int, lam: float) -> pd.DataFrame
 
 
 def explain(cases: DataFrame, explainer: DataFrame, features: Sequence[str],
-            predict: Callable[[DataFrame], Column], n_permutations: int = 5000, n_features: int = 8,
+            predict: Predictor, n_permutations: int = 5000, n_features: int = 8,
             kernel_width: float = 1.0, seed: int = 1234) -> DataFrame:
     """Explanations for every row of ``cases`` (column ``case`` + features).
 
-    ``predict`` maps a DataFrame with the feature columns to a Column with
-    P(Yes).  The explained label is the case's most likely class.
+    ``predict`` is a fitted pipeline, or maps a DataFrame with the feature
+    columns to a Column with P(Yes).  The explained label is the case's most likely class.
     """
     ex_rows = explainer.collect()  # bins x features: a small table
     p = len(features)
-    perms = permutations(cases, ex_rows, features, n_permutations, seed)
-    perms = perms.withColumn("_pyes", predict(perms))
-    case_p = perms.where(F.col("perm") == 1).select("case", F.col("_pyes").alias("_case_pyes"))
-    perms = perms.join(F.broadcast(case_p), "case")  # one row per case
+    cases = positive_score(cases.select("case", *features), predict, "_case_pyes")
+    perms = permutations(cases, ex_rows, features, n_permutations, seed, keep=["_case_pyes"])
+    perms = positive_score(perms, predict, "_pyes")
     label_yes = F.col("_case_pyes") >= 0.5
     y = F.when(label_yes, F.col("_pyes")).otherwise(1 - F.col("_pyes"))
     zsum = sum((F.col(f"z{j}") for j in range(p)), F.lit(0))
@@ -211,7 +227,7 @@ def explain(cases: DataFrame, explainer: DataFrame, features: Sequence[str],
                                                schema)
     names = cases.sparkSession.createDataFrame([(i, f) for i, f in enumerate(features)],
                                                "feature_idx int, feature string")
-    meta = case_p.select("case", F.when(F.col("_case_pyes") >= 0.5, "Yes").otherwise("No").alias("label"),
+    meta = cases.select("case", F.when(F.col("_case_pyes") >= 0.5, "Yes").otherwise("No").alias("label"),
                          F.greatest(F.col("_case_pyes"), 1 - F.col("_case_pyes")).alias("label_prob"))
     out = fits.join(F.broadcast(names), "feature_idx").join(meta, "case")
     # the case's own value and its bin description
