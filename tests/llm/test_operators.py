@@ -173,6 +173,32 @@ def test_quality_rejects_planted_outliers(spark):
     assert all(got[i] for i in range(400)) and not any(got[i] for i in range(400, 440))
 
 
+def words_of(rng, n=120):
+    return " ".join("".join(rng.choice(list("aeioustrn"), k)) for k in rng.integers(2, 9, n))
+
+
+JUNK = " ".join(f"x{i}$$%%" for i in range(60))
+LABELLED = "doc_id long, text string, lang string, source string"
+
+
+def test_quality_rejects_copies_that_hold_a_third(spark):
+    rng, clean, copies = np.random.default_rng(6), 300, 150
+    df = spark.createDataFrame([(i, words_of(rng) if i < clean else JUNK, "en", "a") for i in range(clean + copies)], LABELLED)
+    got = {r.doc_id: r.kept for r in quality.quality(df).collect()}
+    assert all(got[i] for i in range(clean)) and not any(got[i] for i in range(clean, clean + copies))
+
+
+def test_quality_judges_rows_of_small_groups(spark):
+    rng = np.random.default_rng(7)
+    # under MIN_ROWS in all, then a leftover of a large language and one of a small language
+    few = [(i, words_of(rng), "en", "a") for i in range(30)] + [(30, JUNK, "en", "a")]
+    many = [(i, words_of(rng), "en", "a") for i in range(100)] + [(100, words_of(rng), "en", "b"), (101, JUNK, "en", "b"),
+                                                                 (102, words_of(rng), None, "a"), (103, JUNK, None, "a")]
+    for rows, junk in ((few, {30}), (many, {101, 103}), (few[:1], set())):
+        got = quality.quality(spark.createDataFrame(rows, LABELLED)).collect()
+        assert {r.doc_id for r in got if not r.kept} == junk and all(r.grp and r.distance is not None for r in got)
+
+
 # sharding --------------------------------------------------------------------
 
 def test_sharding(awkward, small):

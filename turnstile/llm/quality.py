@@ -4,16 +4,20 @@ Plain counts of each whole text give the base rules and a vector of
 transformed statistics (shares of words, smoothed so that short texts stay
 near the middle).  Per language and source, the minimum covariance
 determinant estimate of centre and covariance is sought by concentration
-steps: from three robust starts, the share ``H`` of rows nearest to the estimate gives the
-next estimate; the start with the least determinant wins.  A row is rejected
+steps: from three robust starts, the half (``H``) of the rows nearest to the estimate
+gives the next estimate until the determinant falls no more; the start with
+the least determinant wins.  A row is rejected
 when its squared Mahalanobis distance exceeds the chi-square quantile.
 
-Distances are ordered by fine bins, so a step is two aggregations with
-map-side sums and its rows never meet in one task; the subset holds the share ``H`` and
-the rest of its last bin.  Rows that fail the base rules don't take part in
+Half is the most robust share: copies of one text, or other junk, may hold
+nearly half of a group.  Distances are ordered by fine bins, so a step is two aggregations with
+map-side sums and its rows never meet in one task; the rows of the subset's last bin
+weigh what the share still lacks, so equal rows don't enter all at once.
+Rows that fail the base rules don't take part in
 the estimates.  A group of fewer than ``MIN_ROWS`` rows joins its
-language's small groups, those the pool of all small groups, and if that
-is small too its rows pass.
+language's small groups, those the pool of all small groups; if that is
+small too, its rows are judged by the estimate of their whole language, or,
+if even that is small, of the whole table.
 
 Defined results: a null text has no words (and fails the base rules); null
 languages and sources are groups of their own; repeated rows and ids keep one row each;
@@ -30,9 +34,10 @@ from pyspark.sql.window import Window
 
 from .workspace import Workspace
 
-H = 0.75
+H = 0.5
 MIN_ROWS = 60
-STEPS = 4
+#: Fall of the logarithm of the determinant that is worth another step.
+FALL = 1e-6
 #: Share of well-behaved rows that the cut lets go.
 ALPHA = 1e-9
 #: Standard deviations below which a statistic isn't told apart.
@@ -102,11 +107,25 @@ def _centres(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
     return cut.groupBy("grp").agg(*[F.max(F.when(F.col("c") == i, F.col("cut") / 512.0)).alias(f"{name}{i}") for i in range(P)])
 
 
+def _subset(binned: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """(keys, cut, part): the bin in which the subset ends, and the weight of that bin's rows."""
+    counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy(*keys).orderBy("bin")
+    summed = counts.withColumns({"upto": F.sum("n").over(ahead), "all": F.sum("n").over(Window.partitionBy(*keys))})
+    need = F.least("all", F.greatest(F.ceil(F.col("all") * F.lit(share)), F.floor((F.col("all") + P + 1) / 2)))
+    ends = summed.withColumn("need", need).where("upto >= need").withColumn("part", F.expr("(need - upto + n) / n"))
+    return ends.groupBy(*keys).agg(F.min(F.struct("bin", "part")).alias("e")).select(
+        *keys, F.col("e.bin").alias("cut"), F.col("e.part").alias("part"))
+
+
 def _estimate(chosen: DataFrame, keys: list[str], factor: float) -> DataFrame:
-    """Mean and Cholesky factor of the (scaled, floored) covariance per group."""
+    """Mean and Cholesky factor of the (scaled, floored) covariance of rows with weight w, per group."""
     pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    mean = lambda v: F.sum(F.col("w") * v) / F.sum("w")
     sums = chosen.groupBy(*keys).agg(
-        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(P)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in pairs])
+        *[mean(F.col(f"x{i}")).alias(f"m{i}") for i in range(P)],
+        *[mean(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}{j}") for i, j in pairs])
+    sums = sums.withColumns({f"c{i}{j}": F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in pairs})
     out = sums.withColumns({f"c{i}{j}": F.col(f"c{i}{j}") * factor + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in pairs})
     for i in range(P):
         for j in range(i + 1):
@@ -134,7 +153,7 @@ def _distance() -> Column:
     return total
 
 
-def minimum_covariance(rows: DataFrame, work: Workspace, h: float = H, steps: int = STEPS) -> DataFrame:
+def minimum_covariance(rows: DataFrame, work: Workspace, h: float = H) -> DataFrame:
     """rows (grp, x0...) -> one estimate per group."""
     xs = [F.col(f"x{i}") for i in range(P)]
     medians = work.put(_centres(rows, xs, "a"), "medians")
@@ -147,14 +166,23 @@ def minimum_covariance(rows: DataFrame, work: Workspace, h: float = H, steps: in
     starts = met.join(spreads, "grp").select("grp", *xs, F.posexplode(F.array(squares, plain, F.greatest(*z))).alias("start", "d"))
     middle = chi_square_quantile(h, P)
     factor = h / chi_square(middle, P + 2)
-    binned = starts
-    for step in range(steps):
-        binned = binned.withColumn("bin", F.floor(F.log1p("d") * 128))
-        cut = _quantile_bins(binned.select("grp", "start", "bin"), ["grp", "start"], h)
-        chosen = binned.join(cut, ["grp", "start"]).where("bin <= cut")
-        found = work.put(_estimate(chosen, ["grp", "start"], factor), f"estimate-{step}")
-        spread = rows.select("grp", *xs, F.explode(F.sequence(F.lit(0), F.lit(_STARTS - 1))).alias("start"))
-        binned = spread.join(found, ["grp", "start"]).select("grp", "start", *xs, _distance().alias("d"))
+    keys = ["grp", "start"]
+
+    def concentrate(near: DataFrame, step: int) -> DataFrame:
+        binned = near.withColumn("bin", F.floor(F.log1p("d") * 128))
+        met = binned.join(_subset(binned.select(*keys, "bin"), keys, h), keys).where("bin <= cut")
+        chosen = met.withColumn("w", F.when(F.col("bin") < F.col("cut"), F.lit(1.0)).otherwise(F.col("part")))
+        return work.put(_estimate(chosen, keys, factor), f"estimate-{step}")
+
+    found = falling = concentrate(starts, 0)
+    spread = rows.select("grp", *xs, F.explode(F.sequence(F.lit(0), F.lit(_STARTS - 1))).alias("start"))
+    step = 0
+    while not falling.isEmpty():
+        step += 1
+        tried = concentrate(spread.join(falling, keys).select(*keys, *xs, _distance().alias("d")), step)
+        before = found.select(*keys, F.col("log_det").alias("before"))
+        falling = work.put(tried.join(before, keys).where(F.col("log_det") < F.col("before") - FALL).drop("before"), f"falling-{step}")
+        found = work.put(falling.unionByName(found.join(falling, keys, "left_anti")), f"found-{step}")
     best = Window.partitionBy("grp").orderBy(F.round("log_det", 9), "start")
     return found.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k", "start")
 
@@ -167,19 +195,30 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stats = base_statistics(slim, "text").withColumn("base_failed", failed)
     stats = work.put(stats.withColumns({f"x{i}": v for i, v in enumerate(_vector())}), "statistics")
-    # groups too small to estimate: of the language, then of all
+    # groups too small to estimate: of the language, then of all; what is left asks its whole language, then the table
     sizes = stats.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    own = F.when(F.col("n") >= min_rows, F.to_json(F.array("lang", "source"), {"ignoreNullFields": "false"}))
-    pooled = sizes.withColumn("own", own).withColumn("of_lang", F.sum(F.when(F.col("own").isNull(), F.col("n"))).over(Window.partitionBy("lang")))
-    lang = F.when(F.col("of_lang") >= min_rows, F.to_json(F.array("lang"), {"ignoreNullFields": "false"}))
-    named = work.put(pooled.select("lang", "source", "n", F.coalesce("own", lang).alias("grp")), "sizes")
+    of_lang = Window.partitionBy("lang")
+    named_by = lambda *c: F.to_json(F.array(*c), {"ignoreNullFields": "false"})
+    own = F.when(F.col("n") >= min_rows, named_by("lang", "source"))
+    pooled = sizes.withColumn("own", own).withColumns({
+        "small": F.sum(F.when(F.col("own").isNull(), F.col("n"))).over(of_lang), "whole": F.sum("n").over(of_lang)})
+    lang = F.when(F.col("small") >= min_rows, named_by("lang"))
+    named = work.put(pooled.select("lang", "source", "n", "whole", F.coalesce("own", lang).alias("grp")), "sizes")
     rest = named.where("grp IS NULL").agg(F.sum("n")).first()[0] or 0
-    groups = named.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.coalesce("grp", F.lit("rest" if rest >= min_rows else None)).alias("grp"))
+    wider = F.when(F.lit(rest >= min_rows), F.lit("rest")).when(
+        F.col("whole") >= min_rows, F.concat(F.lit("all of "), named_by("lang"))).otherwise(F.lit("all"))
+    asked = named.withColumns({"joins": F.coalesce("grp", F.lit("rest" if rest >= min_rows else None)), "grp": F.coalesce("grp", wider)})
+    # the estimates that a row enters: its own group's and the wider ones that some row asks for
+    asked = asked.withColumns({
+        "of_lang": F.max(F.when(F.col("grp").startswith("all of "), F.col("grp"))).over(of_lang),
+        "of_all": F.lit("all" if not asked.where("grp = 'all'").isEmpty() else None)})
+    groups = work.put(asked.select(F.col("lang").alias("l"), F.col("source").alias("s"), "grp", F.expr(
+        "filter(array(joins, of_lang, of_all), g -> g IS NOT NULL)").alias("enters")), "groups")
     rows = stats.join(groups, stats["lang"].eqNullSafe(groups["l"]) & stats["source"].eqNullSafe(groups["s"]), "left").drop("l", "s")
     estimates = minimum_covariance(
-        rows.where("grp IS NOT NULL AND NOT base_failed").select("grp", *[f"x{i}" for i in range(P)]), work)
+        rows.where("NOT base_failed").select(F.explode("enters").alias("grp"), *[f"x{i}" for i in range(P)]), work)
     limit = chi_square_quantile(1 - alpha, P)
     judged = rows.join(estimates, "grp", "left").withColumn("distance", _distance())
     return judged.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))).alias("kept"), "distance", "grp")
+        (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(False))).alias("kept"), "distance", "grp")
