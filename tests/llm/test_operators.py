@@ -305,6 +305,13 @@ def test_mixing(awkward, small):
             assert abs(taken[k] - target[k]) <= mixing.BLOCK + 0.01 * target[k]
 
 
+def test_mixing_in_many_buckets_does_not_follow_the_partitions(awkward, small):
+    # sizes over the bucket, and more equal rows than a bucket has
+    for df, n in ((small, 20), (awkward.unionByName(awkward.where("doc_id = 20")).unionByName(awkward.where("doc_id = 20")), 1)):
+        one, two = (Counter(map(tuple, mixing.Mix(df.repartition(k), bucket_rows=n).report().collect())) for k in (3, 7))
+        assert one == two and one.total() == df.count()
+
+
 def test_permutation_is_one_to_one(spark):
     for n in (1, 2, 3, 7, 16, 50, 1000):
         df = spark.range(n).select(F.col("id").alias("k"), F.lit(n).cast("long").alias("n"), F.lit(9).alias("key"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .draws import binomial, uniform
-from .ranks import running_sum
+from .ranks import BUCKET_ROWS, running_sum
 from .workspace import Workspace
 
 BLOCK = 32
@@ -97,7 +97,7 @@ class Mix:
 
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                  carry: bool = False, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP,
-                 block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> None:
+                 block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> None:
         self.work = work = Workspace(df.sparkSession, "mixing")
         self.columns, self.text_col = df.columns, text_col
         size = F.coalesce(F.expr(f"regexp_count(`{text_col}`, '{WORD}')"), F.lit(0)).cast("long")
@@ -118,7 +118,8 @@ class Mix:
         source = self.sources.select("s", F.col("source").alias("__name"), "blocks")
         known = head.join(source, head["__source"].eqNullSafe(source["__name"])).select("s", "__rid", "__mark", "__size", "__id")
         known = work.put(known, "known")
-        placed = running_sum(known, "s", ["__mark", "__id", "__rid"], F.col("__size"), "start", known.count())
+        # row ids depend on how the input was split: they only tell equal rows apart
+        placed = running_sum(known, "s", ["__mark", "__id"], F.col("__size"), "start", known.count(), bucket_rows, "__rid")
         # the stretch of each block that a document covers
         cover = placed.where("__size > 0").select("s", "__rid", "start", "__size", F.explode(F.sequence(
             F.floor(F.col("start") / block).cast("bigint"), F.floor((F.col("start") + F.col("__size") - 1) / block).cast("bigint"))).alias("block"))
