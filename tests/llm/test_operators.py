@@ -270,6 +270,20 @@ def test_pii_context_and_checksums(spark):
     assert masked[0] == "IBAN <iban> now" and masked[4] == "see <email>" and masked[3] == texts[3]
 
 
+def test_pii_iban_ends_and_context_beyond_neighbours(spark):
+    cases = [("IBAN ", "GB82WEST12345698765432", " BIC NWBKGB2L"), ("", "DE89 3704 0044 0532 0130 00", " BIC COBADEFFXXX"),
+             ("", "DE89 3704 0044 0532 0130 00", " On Monday"), ("", "DE89 3704 0044 0532 0130 00", " I will"),
+             ("", "DE89370400440532013000", " 2 times"), ("", "NO9386011117947", "")]
+    texts = ["".join(c) for c in cases] + [
+        "DE89370400440532013000 GB82WEST12345698765432", "XDE89370400440532013000 DE89370400440532013000x",
+        "ssn 123-45-6789, 987-65-4321", "987-65-4321, 123-45-6789 (ssn)", "AB12 " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: ",".join(s for s in r.spans.split(",") if s[:2] in ("ib", "id")) for r in pii.pii_report(df).collect()}
+    want = [f"iban:{len(a)}:{len(a) + len(b)}" for a, b, _ in cases] + [
+        "iban:0:22,iban:23:45", "", "id:4:15,id:17:28", "id:0:11,id:13:24", ""]
+    assert got == dict(enumerate(want))
+
+
 # mixing ----------------------------------------------------------------------
 
 def water(sizes, weights=(3, 1, 2), share=1.5, cap=2):
