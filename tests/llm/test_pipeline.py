@@ -39,6 +39,19 @@ def test_stages(spark, awkward, table, tmp_path):
         docs = out
 
 
+def test_language_stage_without_languages(spark):
+    texts = ["clean words", "\u6f22\u5b57", "12 34", "\u00bd \u00b2 \u2460", "", None]
+    rows = [(i, t, None, "s", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF_SMALL).collect()} == {0, 1}
+
+
+def test_signs_are_no_letters(spark):
+    rows = [(i, f"plain words {i}", "en", "s", 0) for i in range(20)] + [(20, "\u00bd \u00b2 \u2460", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF_SMALL).collect()} == set(range(20))
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF_SMALL)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(rows.columns)

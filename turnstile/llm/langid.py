@@ -17,7 +17,6 @@ Columns other than id, text and language are only passed through.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +40,10 @@ UNKNOWN = "und"
 #: The part of the rows, by checksum of the id, that is held out.
 FOLDS = 5
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether a character of ``text`` is of Unicode category L."""
+    return any(map(str.isalpha, text))
 
 
 def held_out(id_col: str = "doc_id", folds: int = FOLDS, fold: int = 0) -> Column:
@@ -263,7 +265,7 @@ def label(df: DataFrame, net: Network | None, text_col: str = "text", pred: str
             which, texts = [], []
             for i, t in enumerate(batch.column(at)):
                 t = t.as_py()
-                if net is not None and t and _LETTER.search(t):
+                if net is not None and t and has_letter(t):
                     which.append(i)
                     texts.append(t.encode("utf-8"))
             if which:
