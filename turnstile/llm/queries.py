@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, lm_score, mixing, packing, pii, quality, sharding, simhash, token_counts
+from . import exact_dedup, langid, lm_score, manifest, mixing, packing, pii, quality, sharding, simhash, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,12 +60,67 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(documents(spark, sf_dir))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    found = manifest.Manifest(documents(spark, sf_dir), ("doc_id", "source", "lang", "n_chars", "text"), claimed={
+        "n_chars": F.when(tampered, more).otherwise(F.col("n_chars").cast("decimal(20,0)"))})
+    return found.proofs().drop("proof")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_quality_rules, op4_sharding, op5_pii, op6_packing,
-                            op7_mixing, op8_language_id, op9_simhash, op10_lm_scores)}
+                            op7_mixing, op8_language_id, op9_simhash, op10_lm_scores, op13_manifest)}
 
-#: Equal texts by grouping on the normalised text.
-SQL = {"op1_exact_dedup": r"""
+#: Statements of the same rows in DuckDB.
+SQL = {
+    # equal texts by grouping on the normalised text
+    "op1_exact_dedup": r"""
     WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
     g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
-    SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g USING (t)"""}
+    SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g USING (t)""",
+    # both trees level by level, then each leaf folded upwards with the sibling that it meets
+    "op13_manifest": r"""
+    WITH RECURSIVE hashed AS (
+      SELECT row_number() OVER () AS r, doc_id, lang,
+        crc32.c = 0 AS tampered,
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+          || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+        n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail
+      FROM documents, LATERAL (SELECT xor(4294967295, list_reduce([ord(x) FOR x IN string_split(doc_id::VARCHAR, '')],
+        lambda c, o: list_reduce(list_concat([xor(c, o)], range(8)), lambda a, i: xor(a >> 1, 3988292384 * (a & 1))), 4294967295)) % 7 AS c) crc32),
+    leaves AS (
+      SELECT r, doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+        sha256(head || coalesce(strlen((n_chars + tampered::INT)::VARCHAR) || ':' || (n_chars + coalesce(tampered, false)::INT), '-') || tail) AS claim
+      FROM hashed),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS total
+      FROM leaves),
+    low(lang, lvl, pos, total, digest) AS (
+      SELECT lang, 0, pos, total, leaf FROM placed
+      UNION ALL
+      SELECT lang, lvl + 1, pos // 2, any_value((total + 1) // 2), sha256(string_agg(digest, '' ORDER BY pos))
+      FROM low WHERE total > 1 GROUP BY lang, lvl, pos // 2),
+    subroots AS (
+      SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS total
+      FROM low WHERE total = 1),
+    high(lvl, pos, total, digest) AS (
+      SELECT 0, pos, total, subroot FROM subroots
+      UNION ALL
+      SELECT lvl + 1, pos // 2, any_value((total + 1) // 2), sha256(string_agg(digest, '' ORDER BY pos))
+      FROM high WHERE total > 1 GROUP BY lvl, pos // 2),
+    climb(r, lang, lvl, pos, total, node, proof) AS (
+      SELECT r, lang, 0, pos, total, claim, '' FROM placed
+      UNION ALL
+      SELECT c.r, c.lang, c.lvl + 1, c.pos // 2, (c.total + 1) // 2,
+        sha256(CASE WHEN c.pos % 2 = 0 THEN c.node || coalesce(s.digest, '') ELSE s.digest || c.node END), c.proof || coalesce(s.digest, '')
+      FROM climb c LEFT JOIN low s ON s.lang IS NOT DISTINCT FROM c.lang AND s.lvl = c.lvl AND s.pos = xor(c.pos, 1) WHERE c.total > 1),
+    finish(r, lvl, pos, total, node, proof) AS (
+      SELECT c.r, 0, s.pos, s.total, c.node, c.proof FROM climb c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.total = 1
+      UNION ALL
+      SELECT c.r, c.lvl + 1, c.pos // 2, (c.total + 1) // 2,
+        sha256(CASE WHEN c.pos % 2 = 0 THEN c.node || coalesce(s.digest, '') ELSE s.digest || c.node END), c.proof || coalesce(s.digest, '')
+      FROM finish c LEFT JOIN high s ON s.lvl = c.lvl AND s.pos = xor(c.pos, 1) WHERE c.total > 1)
+    SELECT p.doc_id, p.leaf, s.subroot, h.digest AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = h.digest AS verified
+    FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN finish f ON f.r = p.r AND f.total = 1
+    CROSS JOIN (SELECT digest FROM high WHERE total = 1) h"""}
