@@ -36,7 +36,7 @@ from .workspace import Workspace
 
 FANOUT = 2
 #: Levels that one pass folds.
-LEVELS = 4
+LEVELS = 3
 
 
 def encode(value: Column) -> Column:
