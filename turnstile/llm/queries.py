@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, lm_score, manifest, mixing, packing, pii, quality, sharding, simhash, token_counts
+from . import exact_dedup, filter_audit, langid, lm_score, manifest, mixing, packing, pii, quality, sharding, simhash, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(documents(spark, sf_dir))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return filter_audit.FilterAudit(documents(spark, sf_dir)).report(labels)
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     more = F.col("n_chars").cast("decimal(20,0)") + 1
@@ -70,7 +75,8 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_quality_rules, op4_sharding, op5_pii, op6_packing,
-                            op7_mixing, op8_language_id, op9_simhash, op10_lm_scores, op13_manifest)}
+                            op7_mixing, op8_language_id, op9_simhash, op10_lm_scores, op12_filter_audit,
+                            op13_manifest)}
 
 #: Statements of the same rows in DuckDB.
 SQL = {
@@ -79,6 +85,32 @@ SQL = {
     WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
     g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
     SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g USING (t)""",
+    # masks of failed filters, then every order from the counts of masks
+    "op12_filter_audit": r"""
+    WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    least AS (SELECT x, min(doc_id) AS first_id FROM t GROUP BY x),
+    marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+        + 4 * (100 * len(regexp_replace(x, '[^A-Z]', '', 'g')) > 5 * length(x))::INT
+        + 8 * regexp_matches(x, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first_id, first_id IS NOT NULL)::INT AS mask,
+        coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+        FROM t JOIN least USING (x) LEFT JOIN marks USING (doc_id)),
+    c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask),
+    l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+    orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+        FROM l a, l b, l c, l d, l e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+    steps AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+        FROM orders, unnest([1, 2, 3, 4, 5]) s(step))
+    SELECT part, filter_order, step::INT AS step,
+      coalesce(sum(n) FILTER (mask & bit = 0 AND mask & before = 0), 0)::BIGINT AS kept,
+      coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+      coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant,
+      coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+      coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+      coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost,
+      coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & bit <> 0), 0)::BIGINT AS shapley
+    FROM c, steps GROUP BY part, filter_order, step""",
     # both trees level by level, then each leaf folded upwards with the sibling that it meets
     "op13_manifest": r"""
     WITH RECURSIVE hashed AS (
