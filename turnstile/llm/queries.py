@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, filter_audit, langid, lm_score, manifest, mixing, packing, pii, quality, sharding, simhash, token_counts
+from . import exact_dedup, filter_audit, jaccard, langid, lm_score, manifest, mixing, packing, pii, quality, sharding, simhash, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(documents(spark, sf_dir))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.JaccardJoin(documents(spark, sf_dir)).assign()
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     return filter_audit.FilterAudit(documents(spark, sf_dir)).report(labels)
@@ -75,8 +79,8 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_quality_rules, op4_sharding, op5_pii, op6_packing,
-                            op7_mixing, op8_language_id, op9_simhash, op10_lm_scores, op12_filter_audit,
-                            op13_manifest)}
+                            op7_mixing, op8_language_id, op9_simhash, op10_lm_scores, op11_jaccard_join,
+                            op12_filter_audit, op13_manifest)}
 
 #: Statements of the same rows in DuckDB.
 SQL = {
