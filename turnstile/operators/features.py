@@ -1,22 +1,18 @@
 """Feature preparation, fitted on one table and applied to any.
 
 Fitting is aggregate work (one or a few passes); the fitted parameters are a
-handful of numbers per column kept both as Python values (to build Column
-expressions) and as a tidy params table ``(step, terms, value)``.  Applying
-is a single projection, so train and test get identical treatment.
+handful of numbers per column.  Applying is a single projection, so train and
+test get identical treatment.  ``recipe.Recipe`` puts the steps together.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .correlation import make_names
 from .profile import skewness_table
 
 SKEW_CUTOFF = 0.8
@@ -78,50 +74,6 @@ def yj_loglik_table(df: DataFrame, columns: Sequence[str], grid: Sequence[float]
     return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-def estimate_yj_lambda(df: DataFrame, columns: Sequence[str], passes: int = 3,
-                       points: int = 21) -> dict[str, float]:
-    """M4: lambda maximising the likelihood on [-5, 5].
-
-    Each pass evaluates a grid for all columns in one aggregate, then the next
-    pass zooms to +-1 grid step around each column's best value.
-    """
-    lo = {c: YJ_LIMITS[0] for c in columns}
-    hi = {c: YJ_LIMITS[1] for c in columns}
-    best: dict[str, float] = {}
-    for _ in range(passes):
-        for c in columns:
-            step = (hi[c] - lo[c]) / (points - 1)
-            grid = [lo[c] + i * step for i in range(points)]
-            tab = yj_loglik_table(df, [c], grid).collect()
-            ok = [r for r in tab if r["loglik"] is not None and math.isfinite(r["loglik"])]
-            if not ok:
-                best[c] = 1.0
-                continue
-            b = max(ok, key=lambda r: r["loglik"])["lambda"]
-            best[c] = b
-            lo[c], hi[c] = max(YJ_LIMITS[0], b - step), min(YJ_LIMITS[1], b + step)
-    return best
-
-
-@dataclass
-class FittedPrep:
-    """Fitted parameters of the machine-readable recipe."""
-    dropped: list[str] = field(default_factory=list)
-    lambdas: dict[str, float] = field(default_factory=dict)
-    means: dict[str, float] = field(default_factory=dict)
-    sds: dict[str, float] = field(default_factory=dict)
-    levels: dict[str, list[str]] = field(default_factory=dict)
-    one_hot: bool = False
-
-    def params_table(self, spark) -> DataFrame:
-        rows = [("zv", c, None) for c in self.dropped]
-        rows += [("YeoJohnson", c, float(v)) for c, v in self.lambdas.items()]
-        rows += [("center", c, float(v)) for c, v in self.means.items()]
-        rows += [("scale", c, float(v)) for c, v in self.sds.items()]
-        rows += [("dummy", f"{c}={lv}", None) for c, lvs in self.levels.items() for lv in lvs]
-        return spark.createDataFrame(rows, "step string, terms string, value double")
-
-
 def center_scale_params(df: DataFrame, columns: Sequence[str]) -> tuple[dict, dict]:
     """M6/M7: mean and sample sd of every column in one aggregate (1 row)."""
     row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns],
@@ -137,15 +89,16 @@ def center_scale(df: DataFrame, means: dict, sds: dict) -> DataFrame:
 def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     """Sorted levels per categorical column (needed to name dummy columns).
 
-    Only distinct values travel to the driver, and a column with more than
-    MAX_DUMMY_LEVELS levels is refused rather than expanded.
+    Only distinct values travel to the driver.  A column per level is for
+    categories of up to MAX_DUMMY_LEVELS levels; beyond, ``Recipe.step_indicators``
+    keeps the levels in a table and the indicators in one sparse vector.
     """
     out = {}
     for c in columns:
         vals = (df.select(F.col(c).cast("string").alias("v")).where(F.col("v").isNotNull())
                 .distinct().limit(MAX_DUMMY_LEVELS + 1).collect())
         if len(vals) > MAX_DUMMY_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_DUMMY_LEVELS} levels")
+            raise ValueError(f"{c} has more than {MAX_DUMMY_LEVELS} levels: use step_indicators")
         out[c] = sorted(r[0] for r in vals)
     return out
 
@@ -217,40 +170,3 @@ def discretize(df: DataFrame, cuts_table: DataFrame, prefix: str = "bin") -> Dat
 
 def is_numeric_type(dt: T.DataType) -> bool:
     return isinstance(dt, (T.IntegerType, T.LongType, T.DoubleType, T.FloatType, T.ShortType))
-
-
-def level_feature_names(column: Column, level: Column) -> Column:
-    return F.concat(column, F.lit("_"), make_names(level))
-
-
-@dataclass
-class Recipe:
-    """M1 fitted recipe: ``transform`` applies the same steps to any table."""
-    fitted: FittedPrep
-    target: str
-    id_col: str
-    factor_numbers: list[str]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = df.drop(*[c for c in self.fitted.dropped if c in df.columns])
-        out = out.withColumns({c: F.col(c).cast("string") for c in self.factor_numbers if c in out.columns})
-        out = center_scale(out, self.fitted.means, self.fitted.sds)
-        return dummies(out, self.fitted.levels, one_hot=self.fitted.one_hot)
-
-
-def fit_recipe(train: DataFrame, target: str, id_col: str, factor_numbers: Sequence[str] = (),
-               one_hot: bool = False) -> Recipe:
-    """M1 ``recipe(target ~ .) %>% step_zv %>% step_num2factor %>% step_center
-    %>% step_scale %>% step_dummy %>% prep``: every fit is an aggregate over
-    ``train``; the id and the target are not transformed."""
-    predictors = [c for c in train.columns if c not in (target, id_col)]
-    dropped = zero_variance(train, predictors)
-    keep = [c for c in predictors if c not in dropped]
-    factors = [c for c in factor_numbers if c in keep]
-    cast = train.withColumns({c: F.col(c).cast("string") for c in factors})
-    numeric = [c for c in keep if c not in factors and is_numeric_type(cast.schema[c].dataType)]
-    categorical = [c for c in keep if c not in numeric]
-    means, sds = center_scale_params(cast, numeric)
-    levels = category_levels(cast, categorical)
-    return Recipe(FittedPrep(dropped=dropped, means=means, sds=sds, levels=levels, one_hot=one_hot),
-                  target, id_col, list(factors))

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from ..operators import correlation as cr
 from ..operators import features as fe
 from ..operators import profile as pf
+from ..operators import recipe as rc
 from ..operators.joins import stage_table
 from ..operators.ordered import lookup_row_number
+from ..session import scratch_path
 from ..sources.people import people
 from ..sources.tables import read_table
 from .q_relational import HR_ALL, NUMERIC_FEATURES, _long_sql, skew_sql
-from .registry import query
+from .registry import query, set_sql
 from .sql import with_ctes
 
 DISCRETE_NUMERIC = ["JobLevel", "StockOptionLevel"]  # numbers that are categories
@@ -63,13 +65,38 @@ def m04(spark, sf):
     return a.unionByName(b).withColumn("loglik", F.round("loglik", 4))
 
 
-@query("m04_yeo_johnson_transform", None)
+#: Lambdas of the recipes lie on this grid, which SQL can search.
+YJ_GRAIN = 0.01
+
+
+def _yj_value_sql(x: str, lam: str) -> str:
+    """Yeo-Johnson transform of ``x``; null lambda: ``x`` as it is."""
+    return f"""CASE WHEN {lam} IS NULL THEN {x} WHEN {x} >= 0 THEN
+  CASE WHEN abs({lam}) < 0.001 THEN ln(greatest({x}, 0) + 1) ELSE (pow(greatest({x}, 0) + 1, {lam}) - 1) / {lam} END
+  ELSE CASE WHEN abs({lam} - 2) < 0.001 THEN -ln(1 - least({x}, 0)) ELSE -(pow(1 - least({x}, 0), 2 - {lam}) - 1) / (2 - {lam}) END END"""
+
+
+def _yj_lambda_ctes(col: str, source: str, name: str) -> list[tuple[str, str]]:
+    """The grid's lambda of greatest likelihood: a coarse grid, then the grain around its best (one peak)."""
+    x = f"CAST({col} AS DOUBLE)"
+
+    def scan(grid: str) -> str:
+        return f"""SELECT arg_max(l, ll) AS lam FROM (
+  SELECT l, -0.5 * count({x}) * ln(var_pop({_yj_value_sql(x, "l")})) + (l - 1.0) * sum(sign({x}) * ln(abs({x}) + 1)) AS ll
+  FROM {source}, ({grid}) g GROUP BY l)"""
+
+    return [(f"{name}_coarse", scan("SELECT unnest(range(-10, 11)) / 2.0 AS l")),
+            (name, scan(f"SELECT round(lam + unnest(range(-50, 51)) * {YJ_GRAIN}, 2) AS l FROM {name}_coarse"))]
+
+
+@query("m04_yeo_johnson_transform", with_ctes(
+    f"SELECT event_id, CAST(lam AS DOUBLE) AS lambda, round({_yj_value_sql('value', 'lam')}, 6) AS value_yj FROM events, lam",
+    *_yj_lambda_ctes("value", "events", "lam")))
 def m04_apply(spark, sf):
-    """Refined lambda per column (3 zooming passes), then the transform."""
+    """The lambda of greatest likelihood, then the transform."""
     ev = read_table(spark, sf, "events").select("event_id", "value")
-    lam = fe.estimate_yj_lambda(ev, ["value"])
-    return ev.select("event_id", F.lit(lam["value"]).alias("lambda"),
-                     fe.yeo_johnson(F.col("value"), lam["value"]).alias("value_yj"))
+    lam = rc.yj_lambdas(ev, ["value"], grain=YJ_GRAIN)["value"]
+    return ev.select("event_id", F.lit(lam).alias("lambda"), F.round(fe.yeo_johnson(F.col("value"), lam), 6).alias("value_yj"))
 
 
 @query("m05_num_to_factor", with_ctes(" UNION ALL ".join(
@@ -155,17 +182,139 @@ def m09(spark, sf):
     return fe.discretize(hr, fe.discretize_cuts(hr, _BIN))
 
 
-@query("m01_recipe", None)
+#: Skewness from which the recipe transforms a column of the people view (its most skewed one has 0.3).
+RECIPE_SKEW = 0.25
+_ZERO_VARIANCE = ["EmployeeCount", "StandardHours", "Over18"]
+_NUMBERS = [c for c in NUMERIC_FEATURES if c not in DISCRETE_NUMERIC]
+_FACTORS = ["Attrition", "Department", "JobRole", "OverTime", "BusinessTravel", "MaritalStatus", "EducationField", *DISCRETE_NUMERIC]
+# a level as part of a column's name
+_NAME_SQL = "regexp_replace(CASE WHEN regexp_matches(level, '^[0-9]') THEN 'X' ELSE '' END || level, '[^A-Za-z0-9._]', '.', 'g')"
+
+
+def recipe_steps(one_hot: bool = False) -> rc.Recipe:
+    """The machine-readable preparation: zero variance, Yeo-Johnson of skewed columns, numbers that are
+    categories, centre, scale, dummies (the target among them)."""
+    return (rc.Recipe(target="Attrition", idCol="EmployeeNumber").step_zv()
+            .step_yeo_johnson(skew=RECIPE_SKEW, exclude=DISCRETE_NUMERIC, grain=YJ_GRAIN)
+            .step_num2factor(DISCRETE_NUMERIC).step_center().step_scale().step_dummy(one_hot=one_hot))
+
+
+def _prepared(spark, sf) -> tuple[rc.RecipeModel, DataFrame]:
+    from ..operators.models import split_train_test
+    train, test = split_train_test(people(spark, sf))
+    return recipe_steps().fit(train), test
+
+
+def _long_form(baked: DataFrame) -> DataFrame:
+    """(EmployeeNumber, term, value): the baked table's columns as rows, rounded."""
+    terms = [c for c in baked.columns if c != "EmployeeNumber"]
+    wide = baked.select("EmployeeNumber", *[F.col(f"`{c}`").cast("double").alias(c) for c in terms])
+    return wide.unpivot(["EmployeeNumber"], [F.col(f"`{c}`") for c in terms], "term", "value").withColumn("value", F.round("value", 6))
+
+
+def _lam_of(c: str) -> str:
+    return f"(SELECT lam FROM used WHERE variable = '{c}')"
+
+
+def _recipe_ctes() -> list[tuple[str, str]]:
+    """train, test, each number's lambda, and the ones that are used."""
+    from .q_models import _BUCKET
+    lams = " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST(lam AS DOUBLE) AS lam FROM l_{c}" for c in _NUMBERS)
+    return [("train", f"SELECT * FROM hr WHERE {_BUCKET} < 85"), ("test", f"SELECT * FROM hr WHERE {_BUCKET} >= 85"),
+            *[x for c in _NUMBERS for x in _yj_lambda_ctes(c, "train", f"l_{c}")],
+            ("used", f"""SELECT s.variable, CASE WHEN skewness >= {RECIPE_SKEW} THEN lam END AS lam
+  FROM ({skew_sql(_NUMBERS, "train")}) s JOIN ({lams}) l ON l.variable = s.variable""")]
+
+
+def _recipe_sql() -> str:
+    numbers, fits = [], []
+    for c in _NUMBERS:
+        x = _yj_value_sql(f"CAST({c} AS DOUBLE)", _lam_of(c))
+        fits.append((f"fit_{c}", f"SELECT avg(v) AS m, stddev_samp(v) AS s FROM (SELECT {x} AS v FROM train)"))
+        numbers.append(f"SELECT EmployeeNumber, '{c}' AS term, ({x} - m) / s AS value FROM test, fit_{c}")
+    factors = [f"""SELECT EmployeeNumber, '{c}_' || {_NAME_SQL} AS term, CAST(CAST({c} AS VARCHAR) = level AS DOUBLE) AS value
+  FROM test, (SELECT DISTINCT CAST({c} AS VARCHAR) AS level FROM train) v WHERE level > (SELECT min(CAST({c} AS VARCHAR)) FROM train)"""
+               for c in _FACTORS]
+    return with_ctes(f"SELECT EmployeeNumber, term, round(value, 6) + 0.0 AS value FROM ({' UNION ALL '.join(numbers + factors)}) b",
+                     *_recipe_ctes(), *fits)
+
+
+@query("m01_recipe", None)  # its SQL is attached once the split's is known
 def m01(spark, sf):
-    """Fit the machine-readable recipe on the training split and apply it to
-    the test split (zero variance -> numbers to factors -> centre/scale ->
-    dummies)."""
+    """The recipe fitted on the training split and applied to the test split, a row per column of the result."""
+    model, test = _prepared(spark, sf)
+    return _long_form(model.transform(test))
+
+
+@query("m01_recipe_reloaded", None)
+def m01_reloaded(spark, sf):
+    """The same through a pipeline that was saved and loaded."""
+    from pyspark.ml import Pipeline, PipelineModel
     from ..operators.models import split_train_test
-    hr = people(spark, sf)
-    train, test = split_train_test(hr)
-    prep = fe.fit_recipe(train, target="Attrition", id_col="EmployeeNumber",
-                         factor_numbers=DISCRETE_NUMERIC)
-    return prep.transform(test)
+    train, test = split_train_test(people(spark, sf))
+    path = scratch_path(spark, "recipe-model")
+    Pipeline(stages=[recipe_steps()]).fit(train).write().overwrite().save(path)
+    return _long_form(PipelineModel.load(path).transform(test))
+
+
+_STEPS = ["zv", "YeoJohnson", "num2factor", "center", "scale", "dummy"]
+
+
+@query("m10_recipe_steps", "SELECT * FROM (VALUES " + ", ".join(
+    f"({k}, 'step', '{kind}', true, false, '{kind}_{k}')" for k, kind in enumerate(_STEPS, 1))
+    + ") t(number, operation, type, trained, skip, id) WHERE (SELECT count(*) FROM orders) >= 0")
+def m10_steps(spark, sf):
+    model, _ = _prepared(spark, sf)
+    return model.tidy(spark)
+
+
+@query("m10_recipe_terms", None)
+def m10_terms(spark, sf):
+    """What each step of the fitted recipe learned."""
+    model, _ = _prepared(spark, sf)
+    parts = [model.tidy(spark, k).withColumn("number", F.lit(k)) for k in range(1, len(_STEPS) + 1)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.select("number", "terms", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("level", F.lit("")).alias("level"),
+                      F.round("value", 6).alias("value"))
+
+
+def _recipe_terms_sql() -> str:
+    null = "0 AS position, '' AS level"
+    moments = " UNION ALL ".join(
+        f"SELECT '{c}' AS terms, avg(v) AS m, stddev_samp(v) AS s FROM (SELECT {_yj_value_sql(f'CAST({c} AS DOUBLE)', _lam_of(c))} AS v FROM train)"
+        for c in _NUMBERS)
+    levels = " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS terms, CAST({c} AS VARCHAR) AS level FROM train" for c in _FACTORS)
+    body = " UNION ALL ".join([
+        *[f"SELECT 1 AS number, '{c}' AS terms, {null}, CAST(NULL AS DOUBLE) AS value" for c in _ZERO_VARIANCE],
+        f"SELECT 2, variable, {null}, round(lam, 6) FROM used WHERE lam IS NOT NULL",
+        *[f"SELECT 3, '{c}', {null}, NULL" for c in DISCRETE_NUMERIC],
+        f"SELECT 4, terms, {null}, round(m, 6) FROM moments", f"SELECT 5, terms, {null}, round(s, 6) FROM moments",
+        f"SELECT 6, terms, CAST(row_number() OVER (PARTITION BY terms ORDER BY level) AS INT), level, NULL FROM ({levels}) l"])
+    return with_ctes(body, *_recipe_ctes(), ("moments", moments))
+
+
+@query("m08_indicators", """
+WITH levels AS (SELECT DISTINCT 'user_id' AS f, CAST(user_id AS VARCHAR) AS level FROM events
+  UNION ALL SELECT DISTINCT 'event_type', event_type FROM events),
+long AS (SELECT event_id, 'user_id' AS f, CAST(user_id AS VARCHAR) AS level FROM events
+  UNION ALL SELECT event_id, 'event_type', event_type FROM events),
+firsts AS (SELECT f, min(level) AS first FROM levels GROUP BY f)
+SELECT event_id, l.f || '_' || """ + _NAME_SQL + """ AS term, CAST(1.0 AS DOUBLE) AS value
+FROM long l JOIN firsts USING (f) WHERE level > first""")
+def m08_indicators(spark, sf):
+    """Indicators of a category with as many levels as there are users: one sparse vector a row, read back by place."""
+    ev = read_table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("user_id"), "event_type")
+    model = rc.Recipe(idCol="event_id").step_indicators(["user_id", "event_type"], output="features").fit(ev)
+    return rc.vector_entries(model.transform(ev), "event_id", "features", model.feature_names(1))
+
+
+def attach_recipe_sql() -> None:
+    """The recipe's SQL needs the split's, which the model queries hold."""
+    for name in ("m01_recipe", "m01_recipe_reloaded"):
+        set_sql(name, _recipe_sql())
+    set_sql("m10_recipe_terms", _recipe_terms_sql())
 
 
 # ---------------------------------------------------------------- D8-D12 correlation

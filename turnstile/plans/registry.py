@@ -42,6 +42,7 @@ def load_all() -> dict[str, Entry]:
     from . import (q_relational, q_domain, q_features, q_evaluation, q_policy, q_models,  # noqa: F401
                    q_streaming, q_udf)
     q_domain.attach_late_sql()
+    q_features.attach_recipe_sql()
     return CATALOG
 
 
