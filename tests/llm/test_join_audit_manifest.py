@@ -96,7 +96,7 @@ def near_copies():
     return texts
 
 
-@pytest.mark.parametrize("how", [{}, {"owner_sigs": 200, "block_sigs": 50}, {"list_factor": 0, "listed": 0}, {"list_factor": 10**9}])
+@pytest.mark.parametrize("how", [{}, {"owner_sigs": 200, "block_sigs": 50}, {"part": 3, "listed": 0}, {"part": 40}])
 def test_jaccard_join(spark, awkward, small, how):
     made = spark.createDataFrame(list(enumerate(near_copies())), "doc_id long, text string").repartition(5)
     for df in (made, awkward) if how else (made, awkward, small):
@@ -133,7 +133,17 @@ def test_jaccard_hot_group(spark):
         texts.append(" ".join(copy))
     texts += [" ".join(f"s{rng.integers(0, 10**6)}" for _ in range(11)) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    assert Counter(map(tuple, jaccard.JaccardJoin(df, block_sigs=500).assign().collect())) == joined(list(enumerate(texts)))
+    want = joined(list(enumerate(texts)))
+    for how in ({"block_sigs": 500}, {"part": 30}):
+        assert Counter(map(tuple, jaccard.JaccardJoin(df, **how).assign().collect())) == want
+
+
+def test_common_counts_every_intersection(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(jaccard, "FEATURES", 7)
+    some = [np.unique(rng.integers(0, 60, int(n)).astype(np.uint64)) for n in rng.integers(1, 40, 30)]
+    want = [[len(np.intersect1d(x, y)) for y in some[11:]] for x in some[:11]]
+    assert jaccard.common(some[:11], some[11:]).tolist() == want
 
 
 # filter audit ----------------------------------------------------------------
