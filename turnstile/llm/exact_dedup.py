@@ -2,13 +2,15 @@
 
 1. *Claim* (no shuffle): every task hashes its normalised texts and collapses
    the copies that it meets within a bounded window, so that a text which
-   makes up a third of all rows leaves each window once.
+   makes up a third of all rows leaves each window once.  The claims of a text
+   that very many windows make are counted by their digest, and one of them stands for all.
 2. *Index*: the 64-bit key space is cut into 2**r key ranges, sized from the
-   bytes to be indexed.  One owner task per range inserts its claims into an
+   bytes to be indexed.  An owner task inserts a range's claims into an
    extendible-hash directory; a bucket over capacity splits, and the directory
    doubles when the bucket was as deep as the directory.  Equal keys chain in
    their bucket, and only equal bytes join a chain entry.  The entries are
-   written to the shared folder.
+   written to the shared folder.  Beyond ``2 ** TASK_BITS`` ranges a task
+   does several, one after another.
 3. *Answer*: rows look up the entry of their window's claim.
 
 Defined results: a null text counts as empty; all empty texts are one group; a
@@ -27,12 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import Workspace
+from .workspace import Workspace, releasing
 
 #: Text bytes a claim task holds before it emits what it has.
-WINDOW_BYTES = 16 << 20
-#: Text bytes one owner task indexes.
-OWNER_BYTES = 32 << 20
+WINDOW_BYTES = 4 << 20
+#: Text bytes of a key range.
+OWNER_BYTES = 8 << 20
+#: Owner tasks at most, as a power of two.
+TASK_BITS = 16
+#: Claims of one text that travel one by one.
+HOT_CLAIMS = 32
 #: Keys a bucket holds before it splits.
 BUCKET_KEYS = 512
 KEY_BITS = 64
@@ -111,17 +117,16 @@ def _claim(id_type: pa.DataType, window_bytes: int, key_bits: int) -> Callable:
                         ("sha", pa.string()), ("copies", pa.int64()), ("n_bytes", pa.int64()),
                         ("text", pa.binary())])
 
+    def key_of(sha: str) -> int:
+        key = int(sha[:16], 16) >> (64 - key_bits)
+        return key - (1 << 64) if key >> 63 else key
+
     def flush(rows: list) -> pa.RecordBatch:
-        out = []
-        for rid, row_id, group in rows:
-            best, sha, copies, size, norm = group
-            if best[2] == rid:
-                key = int(sha[:16], 16) >> (64 - key_bits)
-                key = key - (1 << 64) if key >> 63 else key
-                out.append((rid, row_id, rid, key, sha, copies, size, norm))
-            else:
-                out.append((rid, row_id, best[2], None, None, None, None, None))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        # the group where the row makes its claim, else nothing
+        claims = [group if group[0][2] == rid else None for rid, _, group in rows]
+        columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2][0][2] for r in rows], [g and key_of(g[1]) for g in claims]]
+        columns += [[g and g[k] for g in claims] for k in (1, 2, 3, 4)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
@@ -154,31 +159,40 @@ def _own(id_type: pa.DataType, range_bits: int, capacity: int, key_bits: int) ->
                         ("group_size", pa.int64()), ("sha", pa.string()), ("key", pa.int64()),
                         ("bucket", pa.int64()), ("depth", pa.int32()), ("link", pa.int32())])
 
+    def entries(index: Directory) -> Iterator[pa.RecordBatch]:
+        columns: list[list] = [[] for _ in schema]
+        for prefix, depth, held in index.buckets():
+            for key, chain in held.items():
+                signed = key - (1 << 64) if key >> 63 else key
+                for link, (_, best, size, reps, sha) in enumerate(chain):
+                    columns[0] += reps
+                    for column, value in zip(columns[1:], (best[2], None if best[0] else best[1], size, sha, signed, prefix, depth, link)):
+                        column += [value] * len(reps)
+            if len(columns[0]) >= 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                columns = [[] for _ in schema]
+        if columns[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Directory(range_bits, capacity, key_bits)
+        owner, index = None, Directory(range_bits, capacity, key_bits)
         for batch in batches:
-            for rid, row_id, key, sha, copies, norm in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                chain = index.chain(key & ((1 << 64) - 1))
+            for mine, rid, row_id, key, sha, copies, text in zip(*(batch.column(i) for i in range(7))):
+                if mine.as_py() != owner:  # a task's ranges come one after another
+                    yield from entries(index)
+                    owner, index = mine.as_py(), Directory(range_bits, capacity, key_bits)
+                rid, norm = rid.as_py(), text.as_py()
+                mine = _rank(row_id.as_py(), rid)
+                chain = index.chain(key.as_py() & ((1 << 64) - 1))
                 for entry in chain:
                     if entry[0] == norm:
-                        entry[1] = min(entry[1], _rank(row_id, rid))
-                        entry[2] += copies
+                        entry[1] = min(entry[1], mine)
+                        entry[2] += copies.as_py()
                         entry[3].append(rid)
                         break
                 else:
-                    chain.append([norm, _rank(row_id, rid), copies, [rid], sha])
-        out: list = []
-        for prefix, depth, entries in index.buckets():
-            for key, chain in entries.items():
-                for link, (_, best, size, reps, sha) in enumerate(chain):
-                    keep = None if best[0] else best[1]
-                    signed = key - (1 << 64) if key >> 63 else key
-                    out += [(rep, best[2], keep, size, sha, signed, prefix, depth, link) for rep in reps]
-            if len(out) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    chain.append([norm, mine, copies.as_py(), [rid], sha.as_py()])
+        yield from entries(index)
 
     return run
 
@@ -192,7 +206,8 @@ class ExactDedup:
 
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False,
                  window_bytes: int = WINDOW_BYTES, owner_bytes: int = OWNER_BYTES,
-                 bucket_keys: int = BUCKET_KEYS, key_bits: int = KEY_BITS) -> None:
+                 bucket_keys: int = BUCKET_KEYS, key_bits: int = KEY_BITS, hot_claims: int = HOT_CLAIMS,
+                 task_bits: int = TASK_BITS) -> None:
         spark = df.sparkSession
         self.work = Workspace(spark, "exact-dedup")
         self.columns = df.columns
@@ -203,31 +218,35 @@ class ExactDedup:
             rows = self.work.put(rows, "rows")
         self.rows = rows
         source = rows.select(F.col("__rid"), F.col(id_col), F.col(text_col))
-        claims = source.mapInArrow(
-            _claim(arrow_id, window_bytes, key_bits),
-            T.StructType([T.StructField("rid", T.LongType()), T.StructField("id", id_type),
-                          T.StructField("rep", T.LongType()), T.StructField("key", T.LongType()),
-                          T.StructField("sha", T.StringType()), T.StructField("copies", T.LongType()),
-                          T.StructField("n_bytes", T.LongType()), T.StructField("text", T.BinaryType())]))
-        claims = self.work.put(claims, "claims")
+        fields = [("rid", T.LongType()), ("id", id_type), ("rep", T.LongType()), ("key", T.LongType()), ("sha", T.StringType()),
+                  ("copies", T.LongType()), ("n_bytes", T.LongType()), ("text", T.BinaryType())]
+        claims = self.work.put(source.mapInArrow(releasing(_claim(arrow_id, window_bytes, key_bits)),
+                                                 T.StructType([T.StructField(*f) for f in fields])), "claims")
         self.members = self.work.put(claims.select("rid", "id", "rep"), "members")
-        total = claims.agg(F.sum("n_bytes")).first()[0] or 0
-        range_bits = max(0, (int(total) // owner_bytes).bit_length())
-        range_bits = min(range_bits, key_bits - 1, 20)
+        claimed = claims.where(F.col("key").isNotNull())
+        total = claimed.agg(F.sum("n_bytes")).first()[0] or 0
+        self.range_bits = range_bits = min(max(0, (int(total) // owner_bytes).bit_length()), key_bits - 1)
+        # texts that very many windows claim: at most (number of claims) / hot_claims rows
+        least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("least")
+        hot = claimed.groupBy(F.col("sha").alias("hot_sha")).agg(F.count("*").alias("claims"), F.sum("copies").alias("hot_copies"), least)
+        hot = self.work.put(hot.where(F.col("claims") > hot_claims).select("hot_sha", "hot_copies", F.col("least.rid").alias("holder")), "hot")
+        marked = claimed.join(F.broadcast(hot), F.col("sha") == F.col("hot_sha"), "left")
         owner = F.shiftrightunsigned(F.col("key"), key_bits - range_bits) if range_bits else F.lit(0)
-        claimed = (claims.where(F.col("key").isNotNull())
-                   .select("rid", "id", "key", "sha", "copies", "text", owner.cast("int").alias("owner"))
-                   .repartitionById(1 << range_bits, F.col("owner")))
-        self.range_bits = range_bits
-        index = claimed.select("rid", "id", "key", "sha", "copies", "text").mapInArrow(
-            _own(arrow_id, range_bits, bucket_keys, key_bits),
-            T.StructType([T.StructField("rep", T.LongType()), T.StructField("keep_rid", T.LongType()),
-                          T.StructField("keep_id", id_type), T.StructField("group_size", T.LongType()),
-                          T.StructField("sha", T.StringType()), T.StructField("key", T.LongType()),
-                          T.StructField("bucket", T.LongType()), T.StructField("depth", T.IntegerType()),
-                          T.StructField("link", T.IntegerType())]))
-        self.index = self.work.put(index, "index")
-        self.work.drop("claims")
+        sent = marked.where("holder is null or rid = holder").select(
+            owner.cast("long").alias("owner"), "rid", "id", "key", "sha", F.coalesce("hot_copies", "copies").alias("copies"), "text")
+        bits = min(range_bits, task_bits)
+        dealt = sent.repartitionById(1 << bits, F.shiftright("owner", range_bits - bits).cast("int"))
+        if range_bits > bits:
+            dealt = dealt.sortWithinPartitions("owner")
+        fields = [("rep", T.LongType()), ("keep_rid", T.LongType()), ("keep_id", id_type), ("group_size", T.LongType()),
+                  ("sha", T.StringType()), ("key", T.LongType()), ("bucket", T.LongType()), ("depth", T.IntegerType()), ("link", T.IntegerType())]
+        index = self.work.put(dealt.mapInArrow(releasing(_own(arrow_id, range_bits, bucket_keys, key_bits)),
+                                               T.StructType([T.StructField(*f) for f in fields])), "index")
+        # the other claims of a hot text have its holder's answer
+        others = marked.where("rid <> holder").select(F.col("rid").alias("other"), "holder")
+        answers = index.join(others, index["rep"] == others["holder"]).withColumn("rep", F.col("other")).select(*index.columns)
+        self.index = self.work.put(index.unionByName(answers), "answers") if not hot.isEmpty() else index
+        self.work.drop("claims", "hot")
 
     def assign(self, id_name: str = "doc_id") -> DataFrame:
         """One row per input row: id, keep_id, group_size, kept, text_sha256."""

@@ -7,9 +7,13 @@ and a lost executor costs only the tasks that were running on it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
@@ -32,6 +36,29 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_BATCH_CONF)
 
 
+def release() -> None:
+    """Give back what a task held: its Python worker lives on and serves other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        return
+
+
+def releasing(run: Callable) -> Callable:
+    """``run`` (batches -> batches) that gives memory back at its task's end."""
+
+    @functools.wraps(run)
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return outer
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete ``path`` through the file system that holds it."""
     jvm = spark._jvm
