@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 from .merges import Merger
 from .pretokens import Pretokeniser
 from .vocab import bundles
-from .workspace import Workspace
+from .workspace import Workspace, releasing
 
 VOCAB = "word_bpe_49k.json"
 END_ID = 2
@@ -221,7 +221,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: s
     id_kind = source.schema["id"].dataType
     arrow_id = pa.int64() if isinstance(id_kind, T.LongType) else pa.int32() if isinstance(id_kind, T.IntegerType) else pa.string()
     pieces = work.put(source.mapInArrow(
-        _packer(arrow_id, vocab, end_id, tiers, block_tokens),
+        releasing(_packer(arrow_id, vocab, end_id, tiers, block_tokens)),
         f"id {id_kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, part long, local long, "
         "window long, offset long"), "pieces")
     # windows are numbered over all parts: by length, part, and place in the part

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .workspace import Workspace
+from .workspace import Workspace, releasing
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -183,7 +183,7 @@ class NearDedup:
         self.rows = rows = self.work.put(rows, "rows") if carry else rows
         id_type = df.schema[id_col].dataType
         source = rows.select(F.struct("__rid", F.col(id_col).alias("id")).alias("__rid"), text_col)
-        marked = source.mapInArrow(_fingerprints(words), T.StructType([
+        marked = source.mapInArrow(releasing(_fingerprints(words)), T.StructType([
             T.StructField("__rid", T.StructType([T.StructField("__rid", T.LongType()), T.StructField("id", id_type)])),
             T.StructField("fp", T.LongType())]))
         self.marked = self.work.put(marked.select("__rid.__rid", "__rid.id", "fp"), "marked")
