@@ -5,8 +5,14 @@ every byte a softmax over both states labels the position.  A document's
 probability of a language is the mean over all its positions.  Texts are read
 whole, in windows of ``WINDOW`` bytes (the states start anew in each), many
 windows at a time.  The network is trained in numpy by backpropagation through
-time, on a bounded sample: up to ``PER_LANGUAGE`` labelled rows of each
-language, ``SNIPPET`` characters of each.
+time, on a bounded sample: up to ``PER_LANGUAGE`` labelled rows of each of the
+``LANGUAGES`` most frequent languages, ``SNIPPET`` characters of each.  The hash of
+a text alone decides whether and where it is sampled.
+
+``named`` keeps the rows whose language the network can tell: a text of
+``SURE_BYTES`` or more is let go when no language holds ``MAJORITY`` of its
+positions.  On a bounded sample of held-out rows that bar is lowered, if need
+be, until all but ``LOST`` of them pass.
 
 Defined results: a null text, and one without any letter, is ``und`` with
 score 0, and so is every text when there is nothing to learn from; rows
@@ -25,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workspace import releasing
+
 HIDDEN = 6
 WINDOW = 128
 #: Windows that run side by side.
@@ -35,6 +43,8 @@ PER_LANGUAGE = 200
 SNIPPET = 512
 TRAIN_WINDOW = 64
 EPOCHS = 8
+LANGUAGES = 256
+MAJORITY, SURE_BYTES, LOST = 0.5, 64, 0.01
 SEED = 17
 UNKNOWN = "und"
 #: The part of the rows, by checksum of the id, that is held out.
@@ -219,29 +229,42 @@ class Network:
         return sums / np.array([len(t) for t in texts])[:, None]
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE,
-        folds: int = FOLDS, hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = SEED) -> Network | None:
-    """Network trained on up to ``per_language`` rows of each language outside the held-out fold."""
-    usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, folds))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
+def _snippets(usable: DataFrame, text_col: str, lang_col: str, per_language: int, seed: int) -> dict[str, list[bytes]]:
+    """Up to ``per_language`` snippets of each language: a bounded sample, drawn by the hash of the text."""
+    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()}
     if not counts:
-        return None
-    labels = sorted(counts)
-    draw = F.xxhash64(F.lit(seed), id_col, F.length(text_col))
-    share = F.create_map(*[x for k in labels for x in (F.lit(k), F.lit(min(1.0, 1.3 * per_language / counts[k])))])
+        return {}
+    draw = F.xxhash64(F.lit(seed), text_col)
+    share = F.create_map(*[x for k in sorted(counts) for x in (F.lit(k), F.lit(min(1.0, 1.3 * per_language / counts[k])))])
     picked = usable.where(F.shiftrightunsigned(draw, 12) <= share[F.col(lang_col)] * float(1 << 52))
     span = F.greatest(F.length(text_col) - SNIPPET, F.lit(0)) + 1
+    # copies of one text are drawn together: each text counts once
     rows = picked.select(F.col(lang_col), draw.alias("draw"), F.substring(
-        F.col(text_col), (F.pmod(draw, span) + 1).cast("int"), F.lit(SNIPPET)).alias("part")).limit(2 * per_language * len(labels)).collect()
-    x, y, seen = [], [], dict.fromkeys(labels, 0)
+        F.col(text_col), (F.pmod(draw, span) + 1).cast("int"), F.lit(SNIPPET)).alias("part")).distinct().orderBy("draw").limit(
+        2 * per_language * len(counts)).collect()
+    found: dict[str, list[bytes]] = {k: [] for k in sorted(counts)}
     for lang, _, part in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
-        if seen[lang] >= per_language or not part:
-            continue
-        seen[lang] += 1
-        raw = part.encode("utf-8")
-        for at in range(0, min(len(raw), SNIPPET), TRAIN_WINDOW):
-            x.append(np.frombuffer(raw[at:at + TRAIN_WINDOW].ljust(TRAIN_WINDOW), np.uint8))
-            y.append(labels.index(lang))
+        if part and len(found[lang]) < per_language:
+            found[lang].append(part.encode("utf-8"))
+    return found
+
+
+def _labelled(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE,
+        folds: int = FOLDS, hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = SEED) -> Network | None:
+    """Network trained on up to ``per_language`` rows of each language outside the held-out fold."""
+    found = _snippets(_labelled(df, text_col, lang_col).where(~held_out(id_col, folds)), text_col, lang_col, per_language, seed)
+    if not found:
+        return None
+    labels, x, y = list(found), [], []
+    for k, parts in enumerate(found.values()):
+        for raw in parts:
+            for at in range(0, len(raw), TRAIN_WINDOW):
+                x.append(np.frombuffer(raw[at:at + TRAIN_WINDOW].ljust(TRAIN_WINDOW), np.uint8))
+                y.append(k)
     net = Network(labels, hidden, seed)
     if len(labels) > 1 and x:
         # equal weight to languages: the rarer ones' windows are repeated
@@ -275,7 +298,25 @@ def label(df: DataFrame, net: Network | None, text_col: str = "text", pred: str
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                              names=out.names)
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(releasing(run), out)
+
+
+def bar(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+        per_language: int = PER_LANGUAGE, folds: int = FOLDS, seed: int = SEED) -> float:
+    """The mean probability below which a text has no language that the network can tell."""
+    found = _snippets(_labelled(df, text_col, lang_col).where(held_out(id_col, folds)), text_col, lang_col, per_language, seed)
+    texts = [raw for parts in found.values() for raw in parts if len(raw) >= SURE_BYTES and has_letter(raw.decode("utf-8"))]
+    return min(MAJORITY, float(np.quantile(net.probabilities(texts).max(1), LOST, method="lower"))) if texts else 0.0
+
+
+def named(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
+    """The rows of ``df`` that are in a language; all with a letter when there is nothing to learn from."""
+    net = fit(df, id_col, text_col, lang_col, **how)
+    if net is None:
+        return df.where(df[text_col].rlike(r"\p{L}"))
+    told = label(df, net, text_col, "__lang", "__score")
+    sure = (F.octet_length(text_col) < SURE_BYTES) | (F.col("__score") >= round(bar(df, net, id_col, text_col, lang_col), 6))
+    return told.where((F.col("__lang") != UNKNOWN) & sure).select(*df.columns)
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
