@@ -4,9 +4,11 @@ Every source's words, its documents one after another in a fixed
 pseudorandom order, are packed into blocks of ``BLOCK`` words.  A source's
 target is turned into a number of block slots; a multinomial draw spreads
 them over the output shards.  A slot's number within its source goes through a
-pseudorandom permutation of the source's blocks (a new one for each time
-round), and blocks are joined by index: no block comes twice before all came
-once, and none more than twice, since no target exceeds twice its source.
+pseudorandom permutation of the source's whole blocks (a new one for each time
+round; the words left over make a short block, which ends each round), and
+blocks are joined by index: no block comes twice before all came once, and none
+more than twice, since no target exceeds twice its source.  The last slot takes
+only the words that are still missing, so that a source of any size meets its target to the word.
 
 Defined results: a null text has no words; a null source is a source of its
 own, last in order; texts without words have nothing to take; rows with equal or null ids and repeated
@@ -109,12 +111,15 @@ class Mix:
         head = rows.select("__rid", "__id", "__size", "__source", "__mark")
         sizes = head.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"))
         level = targets(sizes, weights, share, cap)
-        blocks = F.ceil(F.col("source_size") / float(block)).cast("bigint")
-        slots = F.when(F.col("source_size") > 0, F.least(
-            cap * blocks, F.round(F.col("target") * blocks / F.col("source_size")).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
+        # whole blocks, slots of a round, rounds, and words of the last round
+        plan = level.withColumns({"blocks": F.expr(f"source_size DIV {block}"), "goal": F.round("target").cast("bigint")})
+        plan = plan.withColumns({"per": F.expr(f"blocks + int(source_size % {block} > 0)"),
+                                 "turns": F.expr("if(source_size > 0, goal DIV source_size, 0L)"),
+                                 "rest": F.expr("if(source_size > 0, goal % source_size, 0L)")})
+        slots = F.col("turns") * F.col("per") + F.least(F.col("per"), F.ceil(F.col("rest") / float(block)).cast("bigint"))
         # a source is known by its place in code point order from here on
         place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-        self.sources = work.put(level.withColumns({"blocks": blocks, "slots": slots, "s": place}), "sources")
+        self.sources = work.put(plan.withColumns({"slots": slots, "s": place}), "sources")
         source = self.sources.select("s", F.col("source").alias("__name"), "blocks")
         known = head.join(source, head["__source"].eqNullSafe(source["__name"])).select("s", "__rid", "__mark", "__size", "__id")
         known = work.put(known, "known")
@@ -125,7 +130,8 @@ class Mix:
             F.floor(F.col("start") / block).cast("bigint"), F.floor((F.col("start") + F.col("__size") - 1) / block).cast("bigint"))).alias("block"))
         low = F.greatest(F.col("start"), F.col("block") * block)
         high = F.least(F.col("start") + F.col("__size"), (F.col("block") + 1) * block)
-        self.cover = cover.select("s", "block", "__rid", (low - F.col("start")).alias("at"), (high - low).alias("words"))
+        self.cover = cover.select("s", "block", "__rid", (low - F.col("start")).alias("at"), (high - low).alias("words"),
+                                  (low - F.col("block") * block).alias("ahead"))
         # multinomial: each shard in turn takes a binomial share of the slots that are left
         dealt = F.aggregate(
             F.sequence(F.lit(0), F.lit(shards - 1)),
@@ -135,21 +141,28 @@ class Mix:
             lambda a: a["counts"])
         count, total = self.sources.agg(F.count("*"), F.coalesce(F.sum("slots"), F.lit(0))).first()
         spread = self.sources.where("slots > 0").repartition(max(1, count // 4), "s")
-        shared = work.put(spread.select("s", "blocks", F.posexplode(dealt).alias("shard", "n")), "shares")
+        shared = work.put(spread.select("s", "blocks", "per", "turns", "rest", F.posexplode(dealt).alias("shard", "n")), "shares")
         ahead = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         numbered = shared.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0))).where("n > 0")
         # a run of slots at a time to a task
-        runs = numbered.select("s", "blocks", "shard", (F.col("first") + F.col("n")).alias("end"),
+        runs = numbered.select("s", "blocks", "per", "turns", "rest", "shard", (F.col("first") + F.col("n")).alias("end"),
                                F.explode(F.expr(f"sequence(first, first + n - 1, {RUN})")).alias("from"))
         runs = runs.repartition(max(1, int(total) // TASK_SLOTS), "s", "from")
-        slot = runs.select("s", "blocks", "shard", F.explode(F.expr(f"sequence(from, least(from + {RUN}, end) - 1)")).alias("k"))
-        slot = slot.select("s", "blocks", "shard", F.expr("k DIV blocks").alias("turn"), F.expr("k % blocks").alias("k"), F.lit(seed).alias("seed"))
-        self.slots = permutation(slot, "k", "blocks", ["seed", "s", "turn"], "block").select("s", "turn", "shard", "block")
+        slot = runs.select("s", "blocks", "per", "turns", "rest", "shard",
+                           F.explode(F.expr(f"sequence(from, least(from + {RUN}, end) - 1)")).alias("k"))
+        slot = slot.withColumns({"turn": F.expr("k DIV per"), "j": F.expr("k % per"), "seed": F.lit(seed), "n": F.greatest("blocks", F.lit(1))})
+        slot = slot.withColumn("k", F.least("j", F.col("n") - 1))
+        placed = permutation(slot, "k", "n", ["seed", "s", "turn"], "whole")
+        self.slots = placed.select(
+            "s", "turn", "shard", F.when(F.col("j") < F.col("blocks"), F.col("whole")).otherwise(F.col("blocks")).alias("block"),
+            F.when(F.col("turn") == F.col("turns"), F.col("rest") - F.col("j") * block).otherwise(F.lit(block)).alias("most"))
 
     def taken(self) -> DataFrame:
         """One row per stretch of a document that the mix takes: __rid, turn, shard, at, words."""
         # neither side is small, whatever the plan thinks of rows that are made by explode
-        return self.cover.hint("merge").join(self.slots, ["s", "block"]).select("__rid", "turn", "shard", "at", "words")
+        met = self.cover.hint("merge").join(self.slots, ["s", "block"])
+        return met.withColumn("words", F.least("words", F.col("most") - F.col("ahead"))).where("words > 0").select(
+            "__rid", "turn", "shard", "at", "words")
 
     def report(self, id_name: str = "doc_id") -> DataFrame:
         """One row per input row: id, size, source_size, target, taken."""
