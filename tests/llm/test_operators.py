@@ -50,7 +50,8 @@ def norm(t):
 
 # exact dedup -----------------------------------------------------------------
 
-@pytest.mark.parametrize("how", [{}, {"window_bytes": 1, "owner_bytes": 2000, "bucket_keys": 2}, {"key_bits": 3, "bucket_keys": 1, "window_bytes": 1}])
+@pytest.mark.parametrize("how", [{}, {"window_bytes": 1, "owner_bytes": 2000, "bucket_keys": 2}, {"key_bits": 3, "bucket_keys": 1, "window_bytes": 1},
+                                 {"window_bytes": 1, "hot_claims": 2, "owner_bytes": 500, "task_bits": 1}])
 def test_exact_dedup(awkward, small, how):
     for df in (awkward, small.select("doc_id", "text")):
         groups = defaultdict(list)
@@ -169,8 +170,10 @@ def test_quality_rejects_planted_outliers(spark):
     plain = [" ".join("w" * int(n) for n in rng.integers(2, 9, 120)) for _ in range(400)]
     junk = [" ".join("abc" + "***" for _ in range(3)) + " " + " ".join(f"x{rng.integers(1e9)}$$%%" for _ in range(90)) for _ in range(40)]
     df = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(plain + junk)], "doc_id long, text string, lang string, source string")
-    got = {r.doc_id: r.kept for r in quality.quality(df).collect()}
-    assert all(got[i] for i in range(400)) and not any(got[i] for i in range(400, 440))
+    got = {r.doc_id: r for r in quality.quality(df).collect()}
+    # a plain text may fail the base rule on repeated words; the estimate rejects none
+    assert all(got[i].kept != got[i].base_failed for i in range(400)) and sum(got[i].kept for i in range(400)) > 390
+    assert not any(got[i].kept for i in range(400, 440))
 
 
 def words_of(rng, n=120):
@@ -316,7 +319,22 @@ def test_mixing(awkward, small):
             assert 0 <= r.taken <= 2 * r["size"]
             taken[k] += r.taken
         for k in sizes:
-            assert abs(taken[k] - target[k]) <= mixing.BLOCK + 0.01 * target[k]
+            assert abs(taken[k] - target[k]) <= 0.5
+
+
+def test_mixing_meets_the_targets_of_small_sources(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join("w" * int(rng.integers(1, 12))), f"s{i % 97:02d}") for i in range(300)]
+    rows += [(300 + i, " ".join(["v"] * int(n)), f"t{i}") for i, n in enumerate((1, 31, 32, 33, 64, 65, 1000))]
+    sizes, source = Counter(), {}
+    for i, text, name in rows:
+        sizes[name] += len(text.split())
+        source[i] = name
+    target, taken = water(sizes), Counter()
+    for r in mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).report().collect():
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[source[r.doc_id]] += r.taken
+    assert all(abs(taken[k] - target[k]) <= 0.5 for k in sizes)
 
 
 def test_mixing_in_many_buckets_does_not_follow_the_partitions(awkward, small):
@@ -362,6 +380,45 @@ def test_gradients():
         assert abs((up - down) / 2e-5 - grad[name][at]) < 1e-7
 
 
+def slow_probabilities(net, raw):
+    """Mean label probabilities, one byte at a time in double precision."""
+    total, n = np.zeros(len(net.labels)), net.hidden
+    for at in range(0, len(raw), langid.WINDOW):
+        part = raw[at:at + langid.WINDOW]
+        states = {}
+        for d, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+            h, states[d] = np.zeros(n), {}
+            for t in order:
+                g, u = net.w["x" + d][:, part[t]], net.w["u" + d] @ h
+                z, r = (1 / (1 + np.exp(-(g[k * n:(k + 1) * n] + u[k * n:(k + 1) * n]))) for k in (0, 1))
+                c = np.tanh(g[2 * n:] + r * u[2 * n:])
+                h = states[d][t] = (1 - z) * c + z * h
+        for t in range(len(part)):
+            e = np.exp(net.w["of"] @ states["f"][t] + net.w["ob"] @ states["b"][t] + net.w["o"][:, 0])
+            total += e / e.sum()
+    return total / len(raw)
+
+
+def test_labelling_agrees_with_a_slow_pass(small, awkward):
+    net = langid.fit(small)
+    some = [r.text.encode() for r in small.orderBy("doc_id").limit(12).collect()] + [t.encode() for t in TEXTS[4:9] + TEXTS[10:15]]
+    fast = net.probabilities(some)
+    for raw, row in zip(some, fast):
+        assert np.allclose(row, slow_probabilities(net, raw[:]), atol=2e-4)
+    told = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(small).collect()}
+    for r in small.orderBy("doc_id").limit(12).collect():
+        p = slow_probabilities(net, r.text.encode())
+        assert told[r.doc_id][0] == net.labels[int(p.argmax())] and abs(told[r.doc_id][1] - p.max()) < 1e-3
+
+
+def test_training_rows_are_told_by_their_text(small):
+    # only the fold looks at ids: other ids of the same fold train the same network
+    moved = small.withColumn("doc_id", F.col("doc_id") + 1).where(~langid.held_out())
+    same = small.where(~F.expr("crc32(cast(cast(doc_id + 1 AS string) AS binary)) % 5 = 0"))
+    one, two = langid.fit(moved), langid.fit(same.withColumn("doc_id", F.col("doc_id") + 1))
+    assert all((one.w[k] == two.w[k]).all() for k in one.w)
+
+
 def test_language_held_out_accuracy(small):
     rows = langid.identify(small).join(small.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
