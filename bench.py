@@ -35,6 +35,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     os.environ.setdefault("TURNSTILE_SHUFFLE_PARTITIONS", str(max(8, int(cpus))))
+    from turnstile.operators.joins import release_staged
     from turnstile.plans.registry import load_all
     from turnstile.session import build_session
 
@@ -52,6 +53,7 @@ def main() -> None:
         t0 = time.time()
         cat[n].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[n] = round(time.time() - t0, 3)
+        release_staged(spark)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "total_sec", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": float(m.group(1)) if m else sf_dir}

@@ -36,13 +36,15 @@ def main(argv: list[str] | None = None) -> int:
     if args.cmd == "sql":
         print(cat[args.name].sql or "-- no oracle SQL (model / iterative operator)")
         return 0
+    from .operators.joins import staging
     from .session import build_session
     spark = build_session()
-    df = cat[args.name].build(spark, args.sf_dir)
-    if args.out:
-        df.write.mode("overwrite").parquet(args.out)
-    else:
-        df.show(args.rows, truncate=False)
+    with staging(spark):
+        df = cat[args.name].build(spark, args.sf_dir)
+        if args.out:
+            df.write.mode("overwrite").parquet(args.out)
+        else:
+            df.show(args.rows, truncate=False)
     return 0
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,16 +133,16 @@ def discretize_cuts(df: DataFrame, columns: Sequence[str], cuts: int = 4,
     Columns with fewer than ``min_unique * (cuts + 1)`` distinct values are
     not binned (no rows returned for them).
     """
-    from .ordered import quantiles_from_counts
-    from .profile import value_counts
+    from .ordered import exact_quantiles
+    from .profile import tall, value_counts
     probs = [i / cuts for i in range(cuts + 1)]
+    q = exact_quantiles(tall(df, columns, "double"), "value", probs, ["variable"], out="cut", groups_bounded=True)
     counts = value_counts(df, columns).where(F.col("_v").isNotNull())
-    q = quantiles_from_counts(counts, probs, ["variable"], out="cut", groups_bounded=True)
     nd = counts.groupBy("variable").agg(F.count(F.lit(1)).alias("_nd"))
     q = q.join(F.broadcast(nd), "variable").where(F.col("_nd") / F.lit(cuts + 1) >= min_unique)
-    uniq = q.groupBy("variable", "cut").agg(F.min("prob").alias("prob"))
-    from .ordered import lookup_row_number
-    ranked = lookup_row_number(uniq, [F.col("cut").asc()], ["variable"], out="position")
+    # at most cuts + 1 rows a variable
+    ranked = q.select("variable", "cut").distinct().withColumn(
+        "position", F.row_number().over(Window.partitionBy("variable").orderBy("cut")))
     last = ranked.groupBy("variable").agg(F.max("position").alias("_last"))
     ranked = ranked.join(last, "variable")
     cut = (F.when(F.col("position") == 1, F.lit(float("-inf")))

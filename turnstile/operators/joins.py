@@ -1,13 +1,15 @@
-"""J-family helpers: size-checked broadcast, fold of left joins, null-safe keys."""
+"""J-family helpers: size-checked broadcast, fold of left joins, staged copies."""
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete_path, scratch_path
+
 # A side is broadcast only after its row count is checked against this bound;
 # above it the join falls back to a shuffle join planned by Spark (AQE may
 # still convert it at run time from real sizes).
@@ -24,12 +26,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if n <= max_rows else df
 
 
-def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Join condition on equally named keys where NULL matches NULL."""
-    conds = [left[k].eqNullSafe(right[k]) for k in keys]
-    return functools.reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
-
-
 def fold_left_joins(base: DataFrame, lookups: Iterable[tuple[DataFrame, str]],
                     max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``reduce(left_join)`` of a fact table with lookup tables.
@@ -62,15 +58,37 @@ def materialize_lookup(df: DataFrame, max_rows: int = LOOKUP_MAX_ROWS) -> DataFr
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+#: Staged copies by application, until they are released.
+_staged: dict[str, list[str]] = {}
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
     For operators that scan the same input several times (fit passes,
     quantiles, then the apply pass): the input -- often a join -- is computed
     once, later passes read columnar files, and the lineage is cut so a lost
-    executor does not recompute the join.
+    executor does not recompute the join.  The copy stays until ``release_staged``.
     """
-    from ..session import scratch_path
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+def release_staged(spark: SparkSession, keep: int = 0) -> None:
+    """Remove the staged copies but the first ``keep``: no frame that reads them may be used any more."""
+    paths = _staged.get(spark.sparkContext.applicationId, [])
+    while len(paths) > keep:
+        delete_path(spark, paths.pop())
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Copies that are staged inside the block are removed at its end."""
+    before = len(_staged.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release_staged(spark, before)

@@ -5,10 +5,11 @@ ntile, exact quantiles and average-tie ranks.
 may hold a third of the rows, moves that whole group into one task.  The
 operators here avoid it:
 
-1. range-partition on (group keys, order keys) -- a hot group is split
-   across many partitions because the order keys separate its rows -- and
-   write the rows with the number of their range, so that every later step
-   sees the same ranges whatever the optimizer reuses or an executor loses;
+1. number the rows, range-partition on (group keys, order keys, row) -- a hot
+   group, and rows that tie on all order keys, are split across many
+   partitions because the row number separates them -- and write the rows with
+   the number of their range, so that every later step sees the same ranges
+   and the same order of ties whatever the optimizer reuses or an executor loses;
 2. built-in windows within (range, group) give local row numbers, running
    sums and last-non-null values; all values stay in their own types;
 3. aggregate one summary row per (range, group) and, with a window over
@@ -18,7 +19,12 @@ operators here avoid it:
    ``num_partitions`` rows -- a proven bound -- and is broadcast.
 
 Ordering ties: rows equal on all order keys get an arbitrary relative order
-(as SQL ``row_number`` does); pass a unique tie-break key for determinism.
+(as SQL ``row_number`` does), fixed once the rows are written; pass a unique
+tie-break key for an order that does not follow the input's partitions.
+
+Working columns have a prefix that no column of the input has.  The written
+copy is removed by ``joins.release_staged`` (or at the end of a ``joins.staging``
+block), once the result has been consumed.
 """
 
 from __future__ import annotations
@@ -29,7 +35,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .joins import broadcast_if_small, materialize_lookup, stage_table
+from .joins import materialize_lookup, stage_table
+from .quantiles import radix_quantiles
 
 OrderSpec = Sequence[Column | str]
 
@@ -70,44 +77,50 @@ def ordered_scan(df: DataFrame, order_by: OrderSpec, partition_by: Sequence[str]
     n = _num_partitions(df, num_partitions)
     order = _sort_exprs(order_by)
     keys = [F.col(p).asc_nulls_first() for p in partition_by]
-    ranged = df.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id())
+    p = "__os"
+    while any(c.startswith(p) for c in (*schema.names, *sums, *fills, row_number or "")):
+        p += "_"
+    pid, row = f"{p}pid", f"{p}row"
+    numbered = df.withColumn(row, F.monotonically_increasing_id())
+    ranged = numbered.repartitionByRange(n, *keys, *order, F.col(row)).withColumn(pid, F.spark_partition_id())
     ranged = stage_table(ranged, "ordered")
+    order = [*order, F.col(row)]
 
-    upto = Window.partitionBy("_pid", *partition_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    at = Window.partitionBy("_pid", *partition_by).orderBy(*order)
+    at = Window.partitionBy(pid, *partition_by).orderBy(*order)
+    upto = at.rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({
-        "_lrn": F.row_number().over(at).cast("long"),
-        **{f"_run_{o}": F.sum(F.coalesce(F.col(src), _zero(schema[src].dataType))).over(upto) for o, src in sums.items()},
-        **{f"_fill_{o}": F.last(F.col(src), ignorenulls=True).over(upto) for o, src in fills.items()}})
+        f"{p}lrn": F.row_number().over(at).cast("long"),
+        **{f"{p}run_{o}": F.sum(F.coalesce(F.col(src), _zero(schema[src].dataType))).over(upto) for o, src in sums.items()},
+        **{f"{p}fill_{o}": F.last(F.col(src), ignorenulls=True).over(upto) for o, src in fills.items()}})
 
     # One summary row per (range, group); offsets for groups seen earlier.
-    aggs = [F.max("_lrn").alias("_cnt")]
-    aggs += [F.max_by(F.col(f"_run_{o}"), "_lrn").alias(f"_tot_{o}") for o in sums]
-    aggs += [F.max_by(F.col(f"_fill_{o}"), "_lrn").alias(f"_last_{o}") for o in fills]
-    summary = local.groupBy("_pid", *partition_by).agg(*aggs)
-    w = Window.partitionBy(*partition_by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off_cols = [F.sum("_cnt").over(w).alias("_off_cnt")]
-    off_cols += [F.sum(f"_tot_{o}").over(w).alias(f"_off_{o}") for o in sums]
-    off_cols += [F.last(f"_last_{o}", ignorenulls=True).over(w).alias(f"_carry_{o}") for o in fills]
-    offsets = (summary.select(F.col("_pid").alias("_opid"),
-                              *[F.col(p).alias(f"_k_{i}") for i, p in enumerate(partition_by)],
+    aggs = [F.max(f"{p}lrn").alias(f"{p}cnt")]
+    aggs += [F.max_by(F.col(f"{p}run_{o}"), f"{p}lrn").alias(f"{p}tot_{o}") for o in sums]
+    aggs += [F.max_by(F.col(f"{p}fill_{o}"), f"{p}lrn").alias(f"{p}last_{o}") for o in fills]
+    summary = local.groupBy(pid, *partition_by).agg(*aggs)
+    w = Window.partitionBy(*partition_by).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    off_cols = [F.sum(f"{p}cnt").over(w).alias(f"{p}off_cnt")]
+    off_cols += [F.sum(f"{p}tot_{o}").over(w).alias(f"{p}off_{o}") for o in sums]
+    off_cols += [F.last(f"{p}last_{o}", ignorenulls=True).over(w).alias(f"{p}carry_{o}") for o in fills]
+    offsets = (summary.select(F.col(pid).alias(f"{p}opid"),
+                              *[F.col(c).alias(f"{p}k_{i}") for i, c in enumerate(partition_by)],
                               *off_cols)
-               .where(F.col("_off_cnt").isNotNull()))
+               .where(F.col(f"{p}off_cnt").isNotNull()))
     # At most one row per range: bounded by n, so broadcasting is safe.
-    cond = F.col("_pid") == F.col("_opid")
-    for i, p in enumerate(partition_by):
-        cond = cond & F.col(p).eqNullSafe(F.col(f"_k_{i}"))
+    cond = F.col(pid) == F.col(f"{p}opid")
+    for i, c in enumerate(partition_by):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"{p}k_{i}"))
     joined = local.join(F.broadcast(offsets), cond, "left")
     outs = {}
     if row_number:
-        outs[row_number] = F.col("_lrn") + F.coalesce(F.col("_off_cnt"), F.lit(0).cast("long"))
+        outs[row_number] = F.col(f"{p}lrn") + F.coalesce(F.col(f"{p}off_cnt"), F.lit(0).cast("long"))
     for o, src in sums.items():
         zero = _zero(schema[src].dataType)
         kind = f"decimal({zero_type.precision},{zero_type.scale})" if isinstance(
             zero_type := _sum_type(schema[src].dataType), T.DecimalType) else zero_type.simpleString()
-        outs[o] = (F.col(f"_run_{o}") + F.coalesce(F.col(f"_off_{o}"), zero)).cast(kind)
+        outs[o] = (F.col(f"{p}run_{o}") + F.coalesce(F.col(f"{p}off_{o}"), zero)).cast(kind)
     for o in fills:
-        outs[o] = F.coalesce(F.col(f"_fill_{o}"), F.col(f"_carry_{o}"))
+        outs[o] = F.coalesce(F.col(f"{p}fill_{o}"), F.col(f"{p}carry_{o}"))
     kept = [c for c in schema.names if c not in outs]
     order_out = [*schema.names, *(c for c in outs if c not in schema.names)]
     return joined.select(*kept, *[v.alias(k) for k, v in outs.items()]).select(*order_out)
@@ -138,6 +151,13 @@ def fill_down(df: DataFrame, order_by: OrderSpec, fills: dict[str, str],
     return ordered_scan(df, order_by, partition_by, fills=fills)
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def group_sizes(df: DataFrame, partition_by: Sequence[str], out: str = "_n") -> DataFrame | int:
     """Row count per group (a DataFrame) or of the whole table (an int)."""
     if not partition_by:
@@ -149,20 +169,26 @@ def ntile(df: DataFrame, k: int, order_by: OrderSpec, partition_by: Sequence[str
           out: str = "ntile") -> DataFrame:
     """``ntile(x, k)``: the first ``n mod k`` tiles get one extra row
     (dplyr and SQL agree on this), computed from exact row numbers."""
-    ranked = row_number(df, order_by, partition_by, out="_rn")
-    sizes = group_sizes(df, partition_by)
+    rn_col, n_col = _free(df, "__rn"), _free(df, "__size")
+    ranked = row_number(df, order_by, partition_by, out=rn_col)
+    sizes = group_sizes(df, partition_by, n_col)
     if isinstance(sizes, int):
-        ranked = ranked.withColumn("_n", F.lit(sizes).cast("long"))
+        ranked = ranked.withColumn(n_col, F.lit(sizes).cast("long"))
     else:
-        ranked = ranked.join(broadcast_if_small(sizes), on=list(partition_by), how="left")
-    n, rn = F.col("_n"), F.col("_rn")
+        keys = [_free(df, f"__key{i}") for i in range(len(partition_by))]
+        sizes = sizes.withColumnsRenamed(dict(zip(partition_by, keys)))
+        cond = F.lit(True)
+        for c, key in zip(partition_by, keys):
+            cond = cond & F.col(c).eqNullSafe(F.col(key))
+        ranked = ranked.join(sizes, cond, "left").drop(*keys)
+    n, rn = F.col(n_col), F.col(rn_col)
     small = F.floor(n / F.lit(k)).cast("long")
     extra = n - small * k
     large = small + 1
     cut = extra * large
     tile = (F.when(rn <= cut, F.floor((rn - 1) / large) + 1)
             .otherwise(F.floor((rn - cut - 1) / F.greatest(small, F.lit(1))) + extra + 1))
-    return ranked.withColumn(out, tile.cast("int")).drop("_rn", "_n")
+    return ranked.withColumn(out, tile.cast("int")).drop(rn_col, n_col)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
@@ -170,54 +196,17 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     out: str = "quantile", groups_bounded: bool = False) -> DataFrame:
     """Exact linear-interpolation quantiles (R type 7 = SQL ``quantile_cont``).
 
-    Rows are first counted per distinct (group, value) -- a map-side partial
-    aggregate -- and only the distinct values are ranked (see
-    ``quantiles_from_counts``).  No group is gathered into one task or one
-    aggregation buffer.
+    Found digit by digit from counts (see ``quantiles``): no values are shuffled
+    or sorted, and no group is gathered into one task or one aggregation buffer.
     """
-    partition_by = list(partition_by)
-    v = df.select(*partition_by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    counts = v.groupBy(*partition_by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    return quantiles_from_counts(counts, probs, partition_by, prob_col, out, groups_bounded)
+    return radix_quantiles(df, value, probs, partition_by, None, prob_col, out, groups_bounded)
 
 
 def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], partition_by: Sequence[str] = (),
                           prob_col: str = "prob", out: str = "quantile",
                           groups_bounded: bool = False) -> DataFrame:
-    """Quantiles from ``(groups..., _v, _c)`` = value counts (non-NULL values).
-
-    Running counts over the distinct values give each value's position range
-    (cum - count, cum]; the two order statistics around every requested
-    position are found with a join against the target table (groups x probs
-    x 2 rows).  That table is broadcast: without groups its size is fixed,
-    with ``groups_bounded`` the caller vouches for a schema-sized group set
-    (e.g. one group per column), otherwise its size is checked first.
-    """
-    partition_by = list(partition_by)
-    cum = running_sum(counts, [F.col("_v").asc()], {"_cum": "_c"}, partition_by)
-    sizes = counts.groupBy(*partition_by).agg(F.sum("_c").alias("_n"))
-    probs_arr = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (sizes.select(*partition_by, "_n", F.explode(probs_arr).alias(prob_col))
-               .withColumn("_h", (F.col("_n") - 1) * F.col(prob_col))
-               .withColumn("_lo", F.floor("_h").cast("long") + 1)
-               .withColumn("_hi", F.ceil("_h").cast("long") + 1)
-               .withColumn("_frac", F.col("_h") - F.floor("_h")))
-    pos = targets.select(*[F.col(p).alias(f"_g_{i}") for i, p in enumerate(partition_by)], prob_col, "_frac",
-                         F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("_lo").alias("p")),
-                                           F.struct(F.lit(1).alias("w"), F.col("_hi").alias("p"))))
-                         .alias("_t")).select(*[f"_g_{i}" for i in range(len(partition_by))], prob_col, "_frac",
-                                              "_t.w", F.col("_t.p").alias("_p"))
-    pos = F.broadcast(pos) if (not partition_by or groups_bounded) else broadcast_if_small(pos)
-    cond = (F.col("_cum") - F.col("_c") < F.col("_p")) & (F.col("_p") <= F.col("_cum"))
-    for i, p in enumerate(partition_by):
-        cond = cond & F.col(p).eqNullSafe(F.col(f"_g_{i}"))
-    picked = cum.join(pos, cond, "inner")
-    agg = picked.groupBy(*partition_by, prob_col).agg(
-        F.max(F.when(F.col("w") == 0, F.col("_v"))).alias("_lo_v"),
-        F.max(F.when(F.col("w") == 1, F.col("_v"))).alias("_hi_v"),
-        F.first("_frac").alias("_frac"))
-    return agg.select(*partition_by, prob_col,
-                      (F.col("_lo_v") + (F.col("_hi_v") - F.col("_lo_v")) * F.col("_frac")).alias(out))
+    """Quantiles from ``(groups..., _v, _c)`` = value counts (non-NULL values)."""
+    return radix_quantiles(counts, "_v", probs, partition_by, "_c", prob_col, out, groups_bounded)
 
 
 def average_rank(df: DataFrame, value: str, partition_by: Sequence[str] = (),
@@ -230,17 +219,19 @@ def average_rank(df: DataFrame, value: str, partition_by: Sequence[str] = (),
     (group, value), where AQE splits a hot key.
     """
     partition_by = list(partition_by)
-    counts = df.groupBy(*partition_by, value).agg(F.count(F.lit(1)).alias("_ties"))
+    ties, cum_col = _free(df, "__ties"), _free(df, "__cum")
+    counts = df.groupBy(*partition_by, value).agg(F.count(F.lit(1)).alias(ties))
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    cum = running_sum(counts, [order], {"_cum": "_ties"}, partition_by)
+    cum = running_sum(counts, [order], {cum_col: ties}, partition_by)
     keys = partition_by + [value]
-    ranks = cum.select(*[F.col(k).alias(f"_rk_{i}") for i, k in enumerate(keys)],
-                       ((F.col("_cum") - F.col("_ties")) + (F.col("_ties") + 1) / F.lit(2.0)).alias(out))
+    named = [_free(df, f"__rk{i}") for i in range(len(keys))]
+    ranks = cum.select(*[F.col(k).alias(n) for k, n in zip(keys, named)],
+                       ((F.col(cum_col) - F.col(ties)) + (F.col(ties) + 1) / F.lit(2.0)).alias(out))
     cond = F.lit(True)
-    for i, k in enumerate(keys):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_rk_{i}"))
-    joined = df.join(ranks, cond, "left")
-    return joined.select(*df.columns, out)
+    for k, n in zip(keys, named):
+        cond = cond & F.col(k).eqNullSafe(F.col(n))
+    joined = df.drop(out).join(ranks, cond, "left")
+    return joined.select(*[c for c in df.columns if c != out], out)
 
 
 def lookup_row_number(df: DataFrame, order_by: OrderSpec, partition_by: Sequence[str] = (),

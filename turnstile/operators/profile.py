@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import NUMERIC, contains
 from .joins import broadcast_if_small
-from .ordered import exact_quantiles, quantiles_from_counts
+from .ordered import exact_quantiles
 
 # Feature groups of the data-understanding step, as
 # (group name, name fragments matched case-insensitively).
@@ -92,13 +92,10 @@ def skewness_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def missing_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A15 ``plot_missing`` data: share of NULLs per variable (one pass)."""
-    row = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
-    row = row.select(*[F.col(c).alias(c) for c in columns])
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    a = row.unpivot([], list(columns), "variable", "pct_missing")
-    b = counts.unpivot([], list(columns), "variable", "n_missing")
-    return a.join(b, "variable")
+    """A15 ``plot_missing`` data: number and share of NULLs per variable (one pass)."""
+    row = df.agg(*[F.struct(F.avg(F.col(c).isNull().cast("double")).alias("pct_missing"),
+                            F.count_if(F.col(c).isNull()).alias("n_missing")).alias(c) for c in columns])
+    return row.unpivot([], list(columns), "variable", "m").select("variable", "m.pct_missing", "m.n_missing")
 
 
 PROFILE_PROBS = [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -115,26 +112,20 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """N, missing, mean, sd, p0/p25/p50/p75/p100, distinct values.
 
-    Everything comes from the value-count table: moments as weighted sums,
-    quantiles from running counts over distinct values (exact), distinct
-    values as its row count (NULL counted as a value, as R ``unique``)."""
-    counts = value_counts(df, columns)
-    nn = counts.where(F.col("_v").isNotNull())
-    s1 = nn.groupBy("variable").agg(F.sum("_c").alias("_nn"), F.sum(F.col("_v") * F.col("_c")).alias("_s1"))
-    mean = s1.select("variable", (F.col("_s1") / F.col("_nn")).alias("mean"))
-    dev = nn.join(F.broadcast(mean), "variable").groupBy("variable").agg(
-        F.sum(F.col("_c") * (F.col("_v") - F.col("mean")) ** 2).alias("_ss"), F.first("mean").alias("mean"),
-        F.sum("_c").alias("_nn"))
-    moments = counts.groupBy("variable").agg(
-        F.sum("_c").alias("n"), F.sum(F.when(F.col("_v").isNull(), F.col("_c")).otherwise(0)).alias("n_missing"),
-        F.count(F.lit(1)).alias("n_distinct"))
-    q = quantiles_from_counts(nn, PROFILE_PROBS, ["variable"], groups_bounded=True)
+    Moments are one aggregate over all columns, quantiles are selected from
+    counts by digit, distinct values (NULL counted as one, as R ``unique``)
+    are the rows of the value counts."""
+    x = {c: F.col(c).cast("double") for c in columns}
+    # one row of structs, a column each
+    row = df.agg(*[F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col(c).isNull()).alias("n_missing"),
+                            F.avg(x[c]).alias("mean"), F.stddev_samp(x[c]).alias("sd")).alias(c) for c in columns])
+    moments = row.unpivot([], list(columns), "variable", "m").select("variable", "m.*")
+    q = exact_quantiles(tall(df, columns, "double"), "value", PROFILE_PROBS, ["variable"], groups_bounded=True)
     wide = q.groupBy("variable").pivot("prob", PROFILE_PROBS).agg(F.first("quantile"))
     wide = wide.select("variable", *[F.col(f"`{p}`").alias(f"p{int(p * 100)}") for p in PROFILE_PROBS])
-    sd = dev.select("variable", "mean", F.sqrt(F.try_divide(F.col("_ss"), F.col("_nn") - 1)).alias("sd"))
-    return (moments.join(sd, "variable", "left").join(wide, "variable", "left")
-            .select("variable", "n", "n_missing", "mean", "sd", *[f"p{int(p * 100)}" for p in PROFILE_PROBS],
-                    "n_distinct"))
+    distinct = value_counts(df, columns).groupBy("variable").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return (moments.join(wide, "variable", "left").join(distinct, "variable", "left")
+            .select("variable", "n", "n_missing", "mean", "sd", *[f"p{int(p * 100)}" for p in PROFILE_PROBS], "n_distinct"))
 
 
 def type_name(dt: T.DataType) -> str:
