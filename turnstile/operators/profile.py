@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import NUMERIC, contains
+from ..functions.columns import contains
 from .joins import broadcast_if_small
 from .ordered import exact_quantiles
 
@@ -128,6 +128,50 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             .select("variable", "n", "n_missing", "mean", "sd", *[f"p{int(p * 100)}" for p in PROFILE_PROBS], "n_distinct"))
 
 
+def character_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A14, the character half of ``skim``: n, missing, empty, blank, lengths, distinct values (NULL counted as one).
+
+    Counts and lengths are one aggregate; distinct values are the rows of the frequency table."""
+    row = df.agg(*[F.struct(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(c).isNull()).alias("n_missing"), F.count_if(F.col(c) == "").alias("n_empty"),
+        F.count_if((F.trim(F.col(c)) == "") & (F.col(c) != "")).alias("n_blank"), F.min(F.length(c)).alias("min_length"),
+        F.max(F.length(c)).alias("max_length")).alias(c) for c in columns])
+    return row.unpivot([], list(columns), "variable", "m").select("variable", "m.*").join(distinct_counts(df, columns), "variable", "left")
+
+
+def level_counts(df: DataFrame, columns: Sequence[str], k: int = 6) -> DataFrame:
+    """A16, the category half of ``summary``: the ``k`` most frequent levels per column (ties by level), and
+    the others' count as ``(Other)``, the last position.
+
+    ``k`` is the feature: each task keeps its own first ``k`` levels of a column before they meet."""
+    freq = frequency_table(df, columns)
+    order = Window.partitionBy("variable").orderBy(F.desc("n"), "value")
+    top = freq.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    top = top.select("variable", F.col("value").alias("level"), "n", "position")
+    rest = freq.groupBy("variable").agg(F.sum("n").alias("_all")).join(
+        top.groupBy("variable").agg(F.sum("n").alias("_top")), "variable").where("_all > _top")
+    other = rest.select("variable", F.lit("(Other)").alias("level"), (F.col("_all") - F.col("_top")).alias("n"), F.lit(k + 1).alias("position"))
+    return top.unionByName(other)
+
+
+def grouped_pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """D15 category x category: rows per pair of levels of every (group, x, y), from one read."""
+    each = F.array(*[F.struct(F.lit(g).alias("feature_group"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(x).alias("level_x"),
+                              F.col(y).alias("level_y")) for g, x, y in pairs])
+    return df.select(F.explode(each).alias("p")).select("p.*").groupBy("feature_group", "x", "y", "level_x", "level_y").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def grouped_box_stats(df: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """D15 numeric x category: exact five-number summary of x by level of y for every (group, x, y)."""
+    each = F.array(*[F.struct(F.lit(g).alias("feature_group"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(y).alias("level"),
+                              F.col(x).cast("double").alias("value")) for g, x, y in pairs])
+    key = ["feature_group", "x", "y", "level"]
+    q = exact_quantiles(df.select(F.explode(each).alias("p")).select("p.*"), "value", PROFILE_PROBS, key)
+    return q.groupBy(*key).pivot("prob", PROFILE_PROBS).agg(F.first("quantile")).select(
+        *key, *[F.col(f"`{p}`").alias(f"p{int(p * 100)}") for p in PROFILE_PROBS])
+
+
 def type_name(dt: T.DataType) -> str:
     return dt.simpleString()
 
@@ -181,6 +225,3 @@ def pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     """D14 category x category: counts per value pair."""
     return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
 
-
-def is_numeric(df: DataFrame, c: str) -> bool:
-    return isinstance(df.schema[c].dataType, NUMERIC)

@@ -15,7 +15,7 @@ from ..operators.ordered import lookup_row_number
 from ..session import scratch_path
 from ..sources.people import people
 from ..sources.tables import read_table
-from .q_relational import HR_ALL, NUMERIC_FEATURES, _long_sql, skew_sql
+from .q_relational import CHARACTER_COLUMNS, HR_ALL, NUMERIC_ALL, NUMERIC_FEATURES, _long_sql, skew_sql
 from .registry import query, set_sql
 from .sql import with_ctes
 
@@ -39,7 +39,7 @@ _SKEW_FEATURES = [c for c in NUMERIC_FEATURES if c not in DISCRETE_NUMERIC]
     f"SELECT variable, skewness FROM ({skew_sql(_SKEW_FEATURES)}) s WHERE skewness >= 0.8"))
 def m03(spark, sf):
     # rounding first, as the oracle does, so the cutoff sees the same value
-    t = pf.skewness_table(people(spark, sf), _SKEW_FEATURES).withColumn("skewness", F.round("skewness", 6))
+    t = pf.skewness_table(people(spark, sf), _SKEW_FEATURES).withColumn("skewness", F.round("skewness", 6) + 0.0)
     return t.where(F.col("skewness") >= fe.SKEW_CUTOFF)
 
 
@@ -467,7 +467,7 @@ def d12(spark, sf):
 
 # ---------------------------------------------------------------- D13-D15 distributions and pairs
 
-_HIST = ["Age", "DistanceFromHome", "MonthlyIncome", "YearsAtCompany", "EmployeeCount"]
+_HIST = NUMERIC_ALL
 
 
 def _hist_sql(columns, source="hr", group: str | None = None) -> str:
@@ -574,6 +574,36 @@ def d15(spark, sf):
     return out.withColumn("corr", F.round("corr", 6))
 
 
+def _members(kind: list[str]) -> list[tuple[str, list[str]]]:
+    """Columns of ``kind`` in each feature group, the target first where it is one of the kind."""
+    return [(g, [c for c in kind if c != "Attrition" and any(f in c.lower() for f in frags)]) for g, frags in pf.FEATURE_GROUPS]
+
+
+#: Pairs of categories of each group, the target among them: (group, x, y).
+CATEGORY_PAIRS = [(g, a, b) for g, cols in _members(CHARACTER_COLUMNS) for i, a in enumerate(["Attrition", *cols]) for b in cols[i:]]
+#: Numbers by category of each group: (group, number, category).
+NUMBER_BY_CATEGORY = [(g, x, y) for (g, cats), (_, nums) in zip(_members(CHARACTER_COLUMNS), _members(NUMERIC_ALL))
+                      for x in nums for y in ["Attrition", *cats]]
+
+
+@query("d15_pairs_counts", with_ctes(" UNION ALL ".join(
+    f"SELECT '{g}' AS feature_group, '{a}' AS x, '{b}' AS y, {a} AS level_x, {b} AS level_y, count(*) AS n FROM hr GROUP BY {a}, {b}"
+    for g, a, b in CATEGORY_PAIRS)))
+def d15_counts(spark, sf):
+    """Category by category in every feature group: one read of the rows."""
+    return pf.grouped_pair_counts(people(spark, sf), CATEGORY_PAIRS)
+
+
+@query("d15_pairs_box_stats", with_ctes(" UNION ALL ".join(
+    f"SELECT '{g}' AS feature_group, '{x}' AS x, '{y}' AS y, {y} AS level, " + ", ".join(
+        f"round(quantile_cont(CAST({x} AS DOUBLE), {p}), 6) AS p{int(p * 100)}" for p in pf.PROFILE_PROBS) + f" FROM hr GROUP BY {y}"
+    for g, x, y in NUMBER_BY_CATEGORY)))
+def d15_box(spark, sf):
+    """Number by category in every feature group: all five-number summaries from the same passes."""
+    box = pf.grouped_box_stats(people(spark, sf), NUMBER_BY_CATEGORY)
+    return box.withColumns({f"p{int(p * 100)}": F.round(f"p{int(p * 100)}", 6) for p in pf.PROFILE_PROBS})
+
+
 @query("d11_indicator_correlation", with_ctes(
     "SELECT feature, round(Attrition_Yes, 6) AS Attrition_Yes, feature_order FROM d11", *_D11_CTES))
 def d11_all(spark, sf):

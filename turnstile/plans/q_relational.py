@@ -400,7 +400,9 @@ def a06(spark, sf):
         F.round(F.avg("MonthlyIncome"), 6).alias("mean_income"))
 
 
-FREQ_COLUMNS = ["Attrition", "Department", "OverTime", "BusinessTravel", "JobLevel", "JobSatisfaction"]
+CHARACTER_COLUMNS = ["Attrition", "Department", "JobRole", "OverTime", "BusinessTravel", "MaritalStatus", "EducationField", "Over18"]
+#: All character columns, and two numbers that are categories.
+FREQ_COLUMNS = [*CHARACTER_COLUMNS, "JobLevel", "JobSatisfaction"]
 
 
 def _long_sql(columns, source="hr", value="CAST({c} AS VARCHAR)", ids=""):
@@ -452,19 +454,20 @@ def a11(spark, sf):
 NUMERIC_FEATURES = ["Age", "DistanceFromHome", "MonthlyIncome", "JobLevel", "StockOptionLevel",
                     "JobInvolvement", "JobSatisfaction", "EnvironmentSatisfaction", "WorkLifeBalance",
                     "PerformanceRating", "YearsAtCompany", "TotalWorkingYears", "YearsInCurrentRole"]
+NUMERIC_ALL = ["EmployeeNumber", *NUMERIC_FEATURES, "EmployeeCount", "StandardHours"]
 
 
 def skew_sql(columns, source="hr"):
     long = _long_sql(columns, source, value="CAST({c} AS DOUBLE)")
-    return f"""SELECT variable, round(CASE WHEN m2 = 0 THEN NULL ELSE m3 / pow(m2, 1.5) END, 6) AS skewness FROM (
+    return f"""SELECT variable, round(CASE WHEN m2 = 0 THEN NULL ELSE m3 / pow(m2, 1.5) END, 6) + 0.0 AS skewness FROM (
   SELECT l.variable, avg(pow(value - mu, 3)) AS m3, avg(pow(value - mu, 2)) AS m2
   FROM ({long}) l JOIN (SELECT variable, avg(value) AS mu FROM ({long}) z GROUP BY variable) m
     ON l.variable = m.variable GROUP BY l.variable) s"""
 
 
-@query("a12_skewness", with_ctes(skew_sql(NUMERIC_FEATURES)))
+@query("a12_skewness", with_ctes(skew_sql(NUMERIC_ALL)))
 def a12(spark, sf):
-    return pf.skewness_table(_hr(spark, sf), NUMERIC_FEATURES).withColumn("skewness", F.round("skewness", 6))
+    return pf.skewness_table(_hr(spark, sf), NUMERIC_ALL).withColumn("skewness", F.round("skewness", 6) + 0.0)
 
 
 def corr_sql(target_expr, features, source="hr", out="corr"):
@@ -484,10 +487,6 @@ def a13(spark, sf):
     return cor.withColumn("Attrition", F.round("Attrition", 6))
 
 
-PROFILE_COLUMNS = ["Age", "DistanceFromHome", "MonthlyIncome", "YearsAtCompany", "TotalWorkingYears",
-                   "YearsInCurrentRole", "JobLevel"]
-
-
 def _profile_sql(columns):
     long = _long_sql(columns, value="CAST({c} AS DOUBLE)")
     return f"""SELECT m.variable, n, n_missing, round(mean, 6) AS mean, round(sd, 6) AS sd,
@@ -501,42 +500,63 @@ def _profile_sql(columns):
         GROUP BY variable) d ON m.variable = d.variable"""
 
 
-@query("a14_table_profile", with_ctes(_profile_sql(PROFILE_COLUMNS)))
+@query("a14_table_profile", with_ctes(_profile_sql(NUMERIC_ALL)))
 def a14(spark, sf):
-    p = pf.numeric_profile(_hr(spark, sf), PROFILE_COLUMNS)
+    p = pf.numeric_profile(_hr(spark, sf), NUMERIC_ALL)
     return p.select("variable", "n", "n_missing",
                     *[F.round(c, 6).alias(c) for c in ["mean", "sd", "p0", "p25", "p50", "p75", "p100"]],
                     "n_distinct")
 
 
+_CHARACTER_SQL = f"""SELECT variable, count(*) AS n, CAST(count(*) - count(value) AS BIGINT) AS n_missing,
+  CAST(sum(CASE WHEN value = '' THEN 1 ELSE 0 END) AS BIGINT) AS n_empty,
+  CAST(sum(CASE WHEN trim(value) = '' AND value <> '' THEN 1 ELSE 0 END) AS BIGINT) AS n_blank,
+  CAST(min(length(value)) AS INT) AS min_length, CAST(max(length(value)) AS INT) AS max_length,
+  CAST(count(DISTINCT value) + CASE WHEN count(value) < count(*) THEN 1 ELSE 0 END AS BIGINT) AS n_distinct
+FROM ({_long_sql(CHARACTER_COLUMNS)}) l GROUP BY variable"""
+
+
+@query("a14_character_profile", with_ctes(_CHARACTER_SQL))
+def a14_character(spark, sf):
+    return pf.character_profile(_hr(spark, sf), CHARACTER_COLUMNS)
+
+
+_RATIO_SQL = "CASE WHEN YearsInCurrentRole = 0 THEN NULL ELSE YearsAtCompany / YearsInCurrentRole END"
+
+
 @query("a15_missing_share", with_ctes(
-    """SELECT variable, round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 6) AS pct_missing,
+    f"""SELECT variable, round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 6) AS pct_missing,
   CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing FROM (
-  SELECT 'ratio' AS variable, CAST(CASE WHEN YearsInCurrentRole = 0 THEN NULL
-         ELSE YearsAtCompany / YearsInCurrentRole END AS VARCHAR) AS value FROM hr
-  UNION ALL SELECT 'MonthlyIncome', CAST(MonthlyIncome AS VARCHAR) FROM hr
-  UNION ALL SELECT 'JobRole', JobRole FROM hr) l GROUP BY variable"""))
+  SELECT 'ratio' AS variable, CAST({_RATIO_SQL} AS VARCHAR) AS value FROM hr UNION ALL {_long_sql(HR_ALL)}) l GROUP BY variable"""))
 def a15(spark, sf):
-    hr = _hr(spark, sf).select(
-        F.try_divide(F.col("YearsAtCompany"), F.col("YearsInCurrentRole")).alias("ratio"),
-        "MonthlyIncome", "JobRole")
-    ms = pf.missing_share(hr, ["ratio", "MonthlyIncome", "JobRole"])
-    return ms.withColumn("pct_missing", F.round("pct_missing", 6))
+    """All columns of the people view, and a ratio that has missing values."""
+    hr = _hr(spark, sf).withColumn("ratio", F.try_divide(F.col("YearsAtCompany"), F.col("YearsInCurrentRole")))
+    return pf.missing_share(hr, ["ratio", *HR_ALL]).withColumn("pct_missing", F.round("pct_missing", 6))
 
 
 @query("a16_summary", with_ctes(
     f"""SELECT variable, stat, value FROM (
   SELECT variable, round(p0, 6) AS "Min", round(p25, 6) AS "1st Qu.", round(p50, 6) AS "Median",
     round(mean, 6) AS "Mean", round(p75, 6) AS "3rd Qu.", round(p100, 6) AS "Max"
-  FROM ({_profile_sql(PROFILE_COLUMNS)}) p) UNPIVOT (value FOR stat IN
+  FROM ({_profile_sql(NUMERIC_ALL)}) p) UNPIVOT (value FOR stat IN
   ("Min", "1st Qu.", "Median", "Mean", "3rd Qu.", "Max"))"""))
 def a16(spark, sf):
-    p = pf.numeric_profile(_hr(spark, sf), PROFILE_COLUMNS)
+    p = pf.numeric_profile(_hr(spark, sf), NUMERIC_ALL)
     stats = {"Min": "p0", "1st Qu.": "p25", "Median": "p50", "Mean": "mean", "3rd Qu.": "p75", "Max": "p100"}
     pairs = [F.struct(F.lit(name).alias("stat"), F.round(src, 6).alias("value")) for name, src in stats.items()]
     return p.select("variable", F.explode(F.array(*pairs)).alias("s")).select("variable", "s.stat", "s.value")
 
 
+@query("a16_level_counts", with_ctes(
+    f"""SELECT variable, CASE WHEN k <= 6 THEN value ELSE '(Other)' END AS level, CAST(sum(n) AS BIGINT) AS n, CAST(least(min(k), 7) AS INT) AS position
+FROM (SELECT variable, value, n, row_number() OVER (PARTITION BY variable ORDER BY n DESC, value) AS k
+  FROM (SELECT variable, value, count(*) AS n FROM ({_long_sql(CHARACTER_COLUMNS)}) l WHERE value IS NOT NULL GROUP BY variable, value) f) r
+GROUP BY variable, CASE WHEN k <= 6 THEN value ELSE '(Other)' END"""))
+def a16_levels(spark, sf):
+    """The category half of ``summary()``: the most frequent levels of every character column, and all others."""
+    return pf.level_counts(_hr(spark, sf), CHARACTER_COLUMNS, k=6)
+
+
 @query("a17_max_as_filter", with_ctes(
     """SELECT EmployeeNumber, YearsAtCompany FROM hr
 WHERE YearsAtCompany = (SELECT max(YearsAtCompany) FROM hr)"""))
@@ -552,9 +572,8 @@ def a18(spark, sf):
     return count_by(_hr(spark, sf).select(_age_band().alias("age_band")), "age_band")
 
 
-GLIMPSE_COLUMNS = ["EmployeeNumber", "Attrition", "Department", "Age", "MonthlyIncome", "OverTime"]
-_DUCK_TYPES = {"EmployeeNumber": "bigint", "Attrition": "string", "Department": "string", "Age": "int",
-               "MonthlyIncome": "double", "OverTime": "string"}
+GLIMPSE_COLUMNS = HR_ALL
+_DUCK_TYPES = {c: "string" if c in CHARACTER_COLUMNS else "int" for c in HR_ALL} | {"EmployeeNumber": "bigint", "MonthlyIncome": "double"}
 
 
 @query("a19_glimpse", with_ctes(

@@ -17,7 +17,7 @@ from ..operators.attrition import count_by, count_to_pct
 from ..sources.people import people, scored
 from .q_evaluation import MODELS_SQL, metrics_sql, models_long
 from .q_policy import _BEST_OPT, _M, _OPT, _PRC, best_policy, money, prc_sql, savings_sql, staged_scored
-from .q_relational import FREQ_COLUMNS, NUMERIC_FEATURES, _long_sql, skew_sql
+from .q_relational import FREQ_COLUMNS, NUMERIC_ALL, _long_sql, skew_sql
 from .registry import query
 from .sql import cost_sql, with_ctes
 
@@ -86,9 +86,9 @@ def k05(spark, sf):
     return money(parts[0].unionByName(parts[1]))
 
 
-@query("k06_aggregate_function_over_columns", with_ctes(skew_sql(NUMERIC_FEATURES)))
+@query("k06_aggregate_function_over_columns", with_ctes(skew_sql(NUMERIC_ALL)))
 def k06(spark, sf):
     """K6: ``map_df(skewness)`` = one aggregate, one expression per column."""
     hr = people(spark, sf)
-    row = hr.agg(*[F.skewness(F.col(c).cast("double")).alias(c) for c in NUMERIC_FEATURES])
-    return row.unpivot([], NUMERIC_FEATURES, "variable", "skewness").withColumn("skewness", F.round("skewness", 6))
+    row = hr.agg(*[F.skewness(F.col(c).cast("double")).alias(c) for c in NUMERIC_ALL])
+    return row.unpivot([], NUMERIC_ALL, "variable", "skewness").withColumn("skewness", F.round("skewness", 6) + 0.0)
