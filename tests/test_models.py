@@ -131,3 +131,18 @@ def test_long_board_keeps_places(spark):
     got = {(r["model_id"], r["level"]) for r in md.leaderboard_long(board, "logloss").collect()}
     assert got == {("1. a", 1), ("2. b", 2)}
     assert {r["model_id"] for r in md.leaderboard_long(board, "logloss", n_max=1).collect()} == {"1. a"}
+
+
+def test_grid_is_fixed_by_the_rows_and_models_come_by_id(spark, tmp_path):
+    hr = score_columns(people(spark, SF_SMALL)).withColumn("Attrition", F.when(F.col("Yes") > 0.1, "Yes").otherwise("No"))
+    train, test = md.split_train_test(hr.drop("Yes", "No", "Yes_no_ot"))
+    one = md.GridSearch(train, hidden=[[3], [2]], epochs=[30], folds=2)
+    two = md.GridSearch(train.repartition(7), hidden=[[3], [2]], epochs=[30], folds=2)
+    board = [tuple(r) for r in one.table.collect()]
+    assert [r[:3] for r in board] == [tuple(r)[:3] for r in two.table.collect()] and len(board) == 2
+    assert board[0][3] >= board[1][3] > 0.6  # scaled features: the perceptron learns the planted signal
+    one.save(board[0][0], str(tmp_path))
+    again = md.GridSearch.saved(board[0][0], str(tmp_path))
+    assert sorted(map(str, md.predict(one.model(board[0][0]), test).collect())) == sorted(map(str, md.predict(again, test).collect()))
+    with pytest.raises(KeyError):
+        one.model("dl_grid_model_9")

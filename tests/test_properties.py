@@ -99,7 +99,7 @@ def test_full_expected_cost_equals_reduced_form(spark):
 def test_prefix_sum_savings_equal_direct_sums(spark):
     s = scored(spark, SF_SMALL)
     m = ev.metrics_by_threshold(s)
-    allt = {round(r["threshold"], 6): r["savings"] for r in pol.savings_all_thresholds(s, m).collect()}
+    allt = {round(r["threshold"], 6): r["savings"] for r in pol.savings_all_thresholds(s).collect()}
     some = m.orderBy(F.col("threshold").desc()).limit(5).collect()
     ps = [pol.Policy("t", r["threshold"], r["tnr"], r["fpr"], r["fnr"], r["tpr"]) for r in some]
     for r in pol.savings_for_policies(s, ps).collect():

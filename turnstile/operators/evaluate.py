@@ -28,13 +28,6 @@ def _is_pos(label: str, positive: str) -> Column:
     return F.col(label) == F.lit(positive)
 
 
-def class_totals(scored: DataFrame, label: str, positive: str = "Yes") -> tuple[int, int]:
-    """(positives, negatives): one aggregate, two numbers to the driver."""
-    row = scored.agg(F.count_if(_is_pos(label, positive)).alias("p"),
-                     F.count_if(~_is_pos(label, positive)).alias("n")).first()
-    return int(row["p"]), int(row["n"])
-
-
 def score_counts(scored: DataFrame, label: str, score: str, positive: str = "Yes",
                  by: Sequence[str] = ()) -> DataFrame:
     """Positives / negatives per distinct score (map-side partial aggregate)."""
@@ -60,8 +53,8 @@ def metrics_by_threshold(scored: DataFrame, label: str = "Attrition", score: str
         tot = counts.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
         cum = cum.join(broadcast_if_small(tot), by)  # one row per model, size checked
     else:
-        p, n = class_totals(scored, label, positive)
-        cum = cum.withColumn("_P", F.lit(p).cast("long")).withColumn("_N", F.lit(n).cast("long"))
+        total = cum.agg(F.max("tp").alias("p"), F.max("fp").alias("n")).first()  # the last running sums
+        cum = cum.withColumns({"_P": F.lit(total["p"]).cast("long"), "_N": F.lit(total["n"]).cast("long")})
     tp, fp, P, N = F.col("tp"), F.col("fp"), F.col("_P"), F.col("_N")
     fn, tn = P - tp, N - fp
     precision = F.try_divide(tp, tp + fp)

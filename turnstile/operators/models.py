@@ -24,7 +24,7 @@ from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
@@ -258,26 +258,53 @@ def predict(model: PipelineModel, df: DataFrame, threshold: float = 0.5, keep: S
                     "No", "Yes", *keep)
 
 
-def grid_search_mlp(train: DataFrame, hidden: Sequence[Sequence[int]], epochs: Sequence[int], folds: int = 5,
-                    seed: int = SPLIT_SEED) -> DataFrame:
-    """Hidden layers x epochs grid with k-fold CV; rows sorted by auc."""
-    stages, _ = feature_stages()
-    prep = Pipeline(stages=stages).fit(train)
-    tr = prep.transform(train).select("features", "label").cache()
-    nf = len(tr.first()["features"])
-    mlp = MultilayerPerceptronClassifier(seed=seed)
-    grid = (ParamGridBuilder().addGrid(mlp.layers, [[nf, *h, 2] for h in hidden])
-            .addGrid(mlp.maxIter, list(epochs)).build())
-    cvm = CrossValidator(estimator=mlp, estimatorParamMaps=grid, evaluator=ranking("areaUnderROC"),
-                         numFolds=folds, seed=seed, parallelism=4).fit(tr)
-    rows = []
-    for i, (pm, metric) in enumerate(zip(grid, cvm.avgMetrics)):
-        layers = pm[mlp.layers]
-        rows.append((f"dl_grid_model_{i + 1}", str(layers[1:-1]), int(pm[mlp.maxIter]), float(metric)))
-    tr.unpersist()
-    spark = train.sparkSession
-    board = spark.createDataFrame(rows, "model_id string, hidden string, epochs int, auc double")
-    return board.orderBy(F.col("auc").desc())
+class GridSearch:
+    """Hidden layers x epochs grid of perceptrons with k-fold CV.
+
+    Folds are fixed by a hash of the id and the features have unit spread, so
+    the grid is the same on any partitioning.  ``table`` has a row per grid
+    point, best first; ``model(model_id)`` is that point's model, fitted on all
+    training rows when it is first asked for; ``save`` and ``saved`` keep it under the id.
+    """
+
+    def __init__(self, train: DataFrame, hidden: Sequence[Sequence[int]], epochs: Sequence[int], folds: int = 5,
+                 seed: int = SPLIT_SEED, id_col: str = "EmployeeNumber") -> None:
+        stages, _ = feature_stages()
+        scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=False)
+        self.prep = Pipeline(stages=[*stages, scaler]).fit(train)
+        self.train = train.withColumn("fold", fold_of(id_col, folds, seed))
+        tr = self._prepared().cache()
+        nf = len(tr.first()["scaled"])
+        self.mlp = MultilayerPerceptronClassifier(featuresCol="scaled", seed=seed)
+        grid = (ParamGridBuilder().addGrid(self.mlp.layers, [[nf, *h, 2] for h in hidden])
+                .addGrid(self.mlp.maxIter, list(epochs)).build())
+        cvm = CrossValidator(estimator=self.mlp, estimatorParamMaps=grid, evaluator=ranking("areaUnderROC"),
+                             numFolds=folds, seed=seed, parallelism=4, foldCol="fold").fit(tr)
+        tr.unpersist()
+        self.points = {f"dl_grid_model_{i + 1}": pm for i, pm in enumerate(grid)}
+        rows = [(mid, str(pm[self.mlp.layers][1:-1]), int(pm[self.mlp.maxIter]), float(metric))
+                for (mid, pm), metric in zip(self.points.items(), cvm.avgMetrics)]
+        board = train.sparkSession.createDataFrame(rows, "model_id string, hidden string, epochs int, auc double")
+        self.table = board.orderBy(F.col("auc").desc(), "model_id")
+        self._models: dict[str, PipelineModel] = {}
+
+    def _prepared(self) -> DataFrame:
+        return self.prep.transform(self.train).select("scaled", "label", "fold")
+
+    def model(self, model_id: str) -> PipelineModel:
+        if model_id not in self.points:
+            raise KeyError(f"no model {model_id!r} in the grid")
+        if model_id not in self._models:
+            fitted = self.mlp.fit(self._prepared(), self.points[model_id])
+            self._models[model_id] = PipelineModel(stages=[*self.prep.stages, fitted])
+        return self._models[model_id]
+
+    def save(self, model_id: str, folder: str) -> None:
+        self.model(model_id).write().overwrite().save(f"{folder}/{model_id}")
+
+    @staticmethod
+    def saved(model_id: str, folder: str) -> PipelineModel:
+        return PipelineModel.load(f"{folder}/{model_id}")
 
 
 def model_params(model: PipelineModel, model_id: str) -> DataFrame:

@@ -51,11 +51,11 @@ class Policy:
     tpr: float = 1.0
 
 
-def policy_rows(scored: DataFrame, revenue=DEFAULT_REVENUE, pct=DEFAULT_PCT) -> DataFrame:
-    """Per-employee inputs: y0, y1, AC (salary = 12 x monthly income), ot, c0-c2."""
+def policy_rows(scored: DataFrame, revenue=DEFAULT_REVENUE, pct=DEFAULT_PCT, keep: Sequence[str] = ()) -> DataFrame:
+    """Per-employee inputs: y0, y1, AC (salary = 12 x monthly income), ot, c0-c2, and the columns ``keep``."""
     ac = attrition_cost(salary=F.col("MonthlyIncome") * 12, net_revenue_per_employee=revenue)
     ot = F.when(F.col("OverTime") == "Yes", 1.0).otherwise(0.0)
-    rows = scored.select("EmployeeNumber", "OverTime", F.col("Yes").alias("y0"),
+    rows = scored.select("EmployeeNumber", "OverTime", *keep, F.col("Yes").alias("y0"),
                          F.col("Yes_no_ot").alias("y1"), ac.alias("ac"), ot.alias("ot"))
     return rows.withColumns({
         "c0": F.col("y0") * F.col("ac"),
@@ -132,21 +132,27 @@ def savings_for_policies(scored: DataFrame, policies: Sequence[Policy], revenue=
     return row.select(F.explode(F.array(*structs)).alias("x")).select("x.*")
 
 
-def savings_all_thresholds(scored: DataFrame, metrics: DataFrame, revenue=DEFAULT_REVENUE,
+def savings_all_thresholds(scored: DataFrame, label: str = "Attrition", positive: str = "Yes", revenue=DEFAULT_REVENUE,
                            pct=DEFAULT_PCT) -> DataFrame:
-    """V7 for every distinct score: running sums of c0-c2 over scores in
-    descending order, joined on the threshold with the metrics table."""
-    r = policy_rows(scored, revenue, pct)
-    total0 = r.agg(F.sum("c0")).first()[0]  # one scalar
+    """V7 for every distinct score, from one table with a row per score.
+
+    One aggregate gives each score its positives, negatives and cost sums; one
+    ordered scan in descending order turns them into the confusion counts and
+    the savings at that threshold, and its last row holds the totals.
+    """
+    r = policy_rows(scored, revenue, pct, [label])
     per = r.groupBy(F.col("y0").alias("threshold")).agg(
+        F.count_if(F.col(label) == positive).alias("_pos"), F.count_if(F.col(label) != positive).alias("_neg"),
         F.sum("c0").alias("_c0"), F.sum("c1").alias("_c1"), F.sum("c2").alias("_c2"))
-    cum = running_sum(per, [F.col("threshold").desc()], {"f0": "_c0", "f1": "_c1", "f2": "_c2"})
-    rates = metrics.select("threshold", "tnr", "fnr", "fpr", "tpr")
-    j = cum.join(rates, "threshold")
+    cum = running_sum(per, [F.col("threshold").desc()], {"tp": "_pos", "fp": "_neg", "f0": "_c0", "f1": "_c1", "f2": "_c2"})
+    total = cum.agg(F.max("tp").alias("p"), F.max("fp").alias("n"), F.min_by("f0", "threshold").alias("c0")).first()  # one row
+    p, n = F.lit(total["p"]), F.lit(total["n"])
+    rates = cum.withColumns({"tnr": F.try_divide(n - F.col("fp"), n), "fnr": F.try_divide(p - F.col("tp"), p),
+                             "fpr": F.try_divide(F.col("fp"), n), "tpr": F.try_divide(F.col("tp"), p)})
     a = F.col("tpr") + F.col("fnr")
     b = F.col("tnr") + F.col("fpr")
-    return j.select("threshold", "tnr", "fnr", "fpr", "tpr",
-                    *_savings_cols(F.lit(total0), F.col("f0"), F.col("f1"), F.col("f2"), a, b))
+    return rates.select("threshold", "tnr", "fnr", "fpr", "tpr",
+                        *_savings_cols(F.lit(total["c0"]), F.col("f0"), F.col("f1"), F.col("f2"), a, b))
 
 
 def sensitivity_grid(scored: DataFrame, policy: Policy, pcts: Sequence[float],

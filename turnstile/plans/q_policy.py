@@ -144,8 +144,7 @@ def v06(spark, sf):
     WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)) c
   JOIN m ON c.threshold = m.threshold, (SELECT sum(c0) AS s0 FROM prc) t) x""", _PRC, _M, scored=True))
 def v07(spark, sf):
-    s = scored(spark, sf)
-    return money(pol.savings_all_thresholds(s, ev.metrics_by_threshold(s)))
+    return money(pol.savings_all_thresholds(scored(spark, sf)))
 
 
 @query("v08_named_policies", with_ctes(money_sql("policy, threshold, " + _R4, savings_sql(
