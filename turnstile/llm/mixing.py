@@ -74,7 +74,7 @@ def permutation(df: DataFrame, k: str, n: str, key: list[str], out: str) -> Data
     """
     whole = df.columns
     at = df.withColumn("__side", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col(n).cast("double")))).cast("bigint"))
-    at = at.withColumn("__other", F.ceil(F.col(n) / F.col("__side")).cast("bigint"))
+    at = at.withColumn("__other", F.greatest(F.lit(1), F.ceil(F.col(n) / F.col("__side"))).cast("bigint"))
     at = at.withColumns({"__row": F.expr(f"`{k}` DIV __other"), "__col": F.expr(f"`{k}` % __other")})
     names = ", ".join(f"`{c}`" for c in key)
     step = {"__row": "(__row + pmod(xxhash64({0}, {1}, __col), __side)) % __side",
@@ -150,12 +150,13 @@ class Mix:
         runs = runs.repartition(max(1, int(total) // TASK_SLOTS), "s", "from")
         slot = runs.select("s", "blocks", "per", "turns", "rest", "shard",
                            F.explode(F.expr(f"sequence(from, least(from + {RUN}, end) - 1)")).alias("k"))
-        slot = slot.withColumns({"turn": F.expr("k DIV per"), "j": F.expr("k % per"), "seed": F.lit(seed), "n": F.greatest("blocks", F.lit(1))})
-        slot = slot.withColumn("k", F.least("j", F.col("n") - 1))
-        placed = permutation(slot, "k", "n", ["seed", "s", "turn"], "whole")
-        self.slots = placed.select(
-            "s", "turn", "shard", F.when(F.col("j") < F.col("blocks"), F.col("whole")).otherwise(F.col("blocks")).alias("block"),
-            F.when(F.col("turn") == F.col("turns"), F.col("rest") - F.col("j") * block).otherwise(F.lit(block)).alias("most"))
+        slot = slot.select("s", "blocks", "turns", "rest", "shard", F.expr("k DIV per").alias("turn"), F.expr("k % per").alias("k"),
+                           F.lit(seed).alias("seed"))
+        placed = permutation(slot.where("k < blocks"), "k", "blocks", ["seed", "s", "turn"], "block").unionByName(
+            slot.where("k = blocks").withColumn("block", F.col("blocks")))
+        # known not to be null: the join need not compute it twice to see that
+        self.slots = placed.select("s", "turn", "shard", F.coalesce("block", F.lit(-1)).alias("block"), F.when(
+            F.col("turn") == F.col("turns"), F.col("rest") - F.col("k") * block).otherwise(F.lit(block)).alias("most"))
 
     def taken(self) -> DataFrame:
         """One row per stretch of a document that the mix takes: __rid, turn, shard, at, words."""
