@@ -62,3 +62,32 @@ def test_no_range_shuffle_and_no_nested_loop(spark, catalog):
         assert "rangepartitioning" not in plan
         whole = catalog[name].build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastNestedLoopJoin" not in whole and "CartesianProduct" not in whole, name
+
+
+def test_passes_read_keys_that_are_written_once(spark, monkeypatch):
+    """The key's formula is in no plan but that of the written copy, and the copy is gone in the end."""
+    from turnstile.operators import quantiles as qu
+    from turnstile.session import ensure_checkpoint_dir
+    import glob
+    import os
+    formulas, real = [], qu.with_ordered_key
+    monkeypatch.setattr(qu, "with_ordered_key", lambda df, value, out: formulas.append(1) or real(df, value, out))
+    seen, stage = [], qu.stage_table
+    monkeypatch.setattr(qu, "stage_table", lambda df, name: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or stage(df, name))
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.sqrt(F.col("id").cast("double")).alias("x"))
+    out = radix_quantiles(df, "x", [0.25, 0.75], ["g"])
+    assert out.count() == 6 and len(formulas) == 1 and len(seen) > 1
+    assert not any("LOG2" in p.upper() for p in seen)
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    assert not glob.glob(os.path.join(folder, "turnstile-keys-*"))
+
+
+def test_box_statistics_of_a_pair_in_two_groups(spark):
+    from turnstile.operators.profile import grouped_box_stats
+    rows = [(float(i % 11), "abc"[i % 3] if i % 5 else None) for i in range(400)] + [(None, "a"), (None, "z")]
+    df = spark.createDataFrame(rows, "x double, y string")
+    got = {(r.feature_group, r.level): [r.p0, r.p25, r.p50, r.p75, r.p100]
+           for r in grouped_box_stats(df, [("one", "x", "y"), ("two", "x", "y")]).collect()}
+    want = {(g, k): list(np.quantile([x for x, y in rows if y == k and x is not None], [0, 0.25, 0.5, 0.75, 1]))
+            for g in ("one", "two") for k in ("a", "b", "c", None)}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import contains
-from .joins import broadcast_if_small
-from .ordered import exact_quantiles
+from .joins import broadcast_if_small, stage_table
+from .ordered import exact_quantiles, quantiles_from_counts
 
 # Feature groups of the data-understanding step, as
 # (group name, name fragments matched case-insensitively).
@@ -112,18 +112,19 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """N, missing, mean, sd, p0/p25/p50/p75/p100, distinct values.
 
-    Moments are one aggregate over all columns, quantiles are selected from
-    counts by digit, distinct values (NULL counted as one, as R ``unique``)
-    are the rows of the value counts."""
+    Moments are one aggregate over all columns.  The value counts are written
+    once: quantiles are selected from them by digit, and their rows are the
+    distinct values (NULL counted as one, as R ``unique``)."""
     x = {c: F.col(c).cast("double") for c in columns}
     # one row of structs, a column each
     row = df.agg(*[F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col(c).isNull()).alias("n_missing"),
                             F.avg(x[c]).alias("mean"), F.stddev_samp(x[c]).alias("sd")).alias(c) for c in columns])
     moments = row.unpivot([], list(columns), "variable", "m").select("variable", "m.*")
-    q = exact_quantiles(tall(df, columns, "double"), "value", PROFILE_PROBS, ["variable"], groups_bounded=True)
+    counts = stage_table(value_counts(df, columns), "value-counts")
+    q = quantiles_from_counts(counts, PROFILE_PROBS, ["variable"], groups_bounded=True)
     wide = q.groupBy("variable").pivot("prob", PROFILE_PROBS).agg(F.first("quantile"))
     wide = wide.select("variable", *[F.col(f"`{p}`").alias(f"p{int(p * 100)}") for p in PROFILE_PROBS])
-    distinct = value_counts(df, columns).groupBy("variable").agg(F.count(F.lit(1)).alias("n_distinct"))
+    distinct = counts.groupBy("variable").agg(F.count(F.lit(1)).alias("n_distinct"))
     return (moments.join(wide, "variable", "left").join(distinct, "variable", "left")
             .select("variable", "n", "n_missing", "mean", "sd", *[f"p{int(p * 100)}" for p in PROFILE_PROBS], "n_distinct"))
 
@@ -164,11 +165,16 @@ def grouped_pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str, str]]) ->
 
 def grouped_box_stats(df: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
     """D15 numeric x category: exact five-number summary of x by level of y for every (group, x, y)."""
-    each = F.array(*[F.struct(F.lit(g).alias("feature_group"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(y).alias("level"),
-                              F.col(x).cast("double").alias("value")) for g, x, y in pairs])
+    places = {p: i for i, p in enumerate(dict.fromkeys((x, y) for _, x, y in pairs))}
+    each = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(y).alias("level"), F.col(x).cast("double").alias("_v")) for (x, y), i in places.items()])
+    # equal values of a pair and level are one row, and a pair of several groups is worked out once
+    counts = df.select(F.explode(each).alias("p")).select("p.*").where(F.col("_v").isNotNull()).groupBy("pair", "level", "_v").agg(
+        F.count(F.lit(1)).alias("_c"))
+    q = quantiles_from_counts(counts, PROFILE_PROBS, ["pair", "level"])
+    names = df.sparkSession.createDataFrame([(places[x, y], g, x, y) for g, x, y in dict.fromkeys(pairs)],
+                                            "pair int, feature_group string, x string, y string")
     key = ["feature_group", "x", "y", "level"]
-    q = exact_quantiles(df.select(F.explode(each).alias("p")).select("p.*"), "value", PROFILE_PROBS, key)
-    return q.groupBy(*key).pivot("prob", PROFILE_PROBS).agg(F.first("quantile")).select(
+    return q.join(F.broadcast(names), "pair").groupBy(*key).pivot("prob", PROFILE_PROBS).agg(F.first("quantile")).select(
         *key, *[F.col(f"`{p}`").alias(f"p{int(p * 100)}") for p in PROFILE_PROBS])
 
 

@@ -7,6 +7,8 @@ bucket each rank lies.  All columns, groups and probabilities go through the
 same passes, at most four of them; a bucket that holds one value ends its
 search early.  What is shuffled is counts (at most ``2 ** DIGIT`` a prefix,
 aggregated before the shuffle), never values, and nothing is sorted but the counts.
+The ordered numbers are written once and the passes read them: the optimizer would
+otherwise copy their formula into every filter of every pass.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import delete_path, scratch_path
 from .joins import stage_table
 
 DIGIT = 16
@@ -73,7 +76,10 @@ def radix_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     few = not by or groups_bounded
     rows = df.select(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col(value).cast("double").alias("__v"),
                      (F.col(weight) if weight else F.lit(1)).cast("long").alias("__c")).where("__v IS NOT NULL")
-    rows = with_ordered_key(rows, "__v", "__k").drop("__v")
+    spark = df.sparkSession
+    keys = scratch_path(spark, "keys")
+    with_ordered_key(rows, "__v", "__k").drop("__v").write.parquet(keys)
+    rows = spark.read.parquet(keys)
 
     def fixed(wanted: DataFrame, name: str) -> DataFrame:
         return wanted.sparkSession.createDataFrame(wanted.collect(), wanted.schema) if few else stage_table(wanted, name)
@@ -93,32 +99,35 @@ def radix_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
         run = part.orderBy("__d").rowsBetween(Window.unboundedPreceding, 0)
         return hist.withColumns({"__before": F.sum("__n").over(run) - F.col("__n"), "__all": F.sum("__n").over(part)})
 
-    shift = 64 - DIGIT
-    hist = counted(rows, shift, [])
-    at = (F.col("__all") - 1).cast("double")
-    ranks = F.flatten(F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: F.array(*[
-        F.struct(p.alias("p"), F.lit(w).alias("w"), end(at * p).cast("long").alias("r"), (at * p - F.floor(at * p)).alias("f"))
-        for w, end in ((0, F.floor), (1, F.ceil))])))
-    inside = F.filter(ranks, lambda t: (t["r"] >= F.col("__before")) & (t["r"] < F.col("__before") + F.col("__n")))
-    wanted = hist.select(*names, "__d", "__lo", "__hi", "__before", F.explode(inside).alias("__t"))
-    wanted = fixed(wanted.select(*names, F.col("__t.p").alias("__p"), F.col("__t.w").alias("__w"), F.col("__t.f").alias("__f"),
-                                 (F.col("__t.r") - F.col("__before")).alias("__r"), "__d", "__lo", "__hi"), "ranks")
-    found = wanted.where("__lo = __hi")
-    while shift:
-        left = wanted.where("__lo < __hi")
-        if left.isEmpty():
-            break
-        prefixes = left.select(*names, F.col("__d").alias("__x")).distinct()
-        prefixes = F.broadcast(prefixes) if few else prefixes
-        met = rows.withColumn("__x", F.shiftright("__k", shift)).alias("a").join(
-            prefixes.alias("b"), same("a", "b") & (F.col("a.__x") == F.col("b.__x")), "left_semi")
-        shift -= DIGIT
-        hist = counted(met, shift, ["__x"])
-        placed = hist.alias("h").join((F.broadcast(left) if few else left).alias("l"), same("h", "l") & (F.col("h.__x") == F.col("l.__d"))
-                                      & (F.col("l.__r") >= F.col("h.__before")) & (F.col("l.__r") < F.col("h.__before") + F.col("h.__n")))
-        wanted = fixed(placed.select(*[F.col(f"l.{n}").alias(n) for n in names], "l.__p", "l.__w", "l.__f",
-                                     (F.col("l.__r") - F.col("h.__before")).alias("__r"), "h.__d", "h.__lo", "h.__hi"), "ranks")
-        found = found.unionByName(wanted.where("__lo = __hi"))
+    try:
+        shift = 64 - DIGIT
+        hist = counted(rows, shift, [])
+        at = (F.col("__all") - 1).cast("double")
+        ranks = F.flatten(F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: F.array(*[
+            F.struct(p.alias("p"), F.lit(w).alias("w"), end(at * p).cast("long").alias("r"), (at * p - F.floor(at * p)).alias("f"))
+            for w, end in ((0, F.floor), (1, F.ceil))])))
+        inside = F.filter(ranks, lambda t: (t["r"] >= F.col("__before")) & (t["r"] < F.col("__before") + F.col("__n")))
+        wanted = hist.select(*names, "__d", "__lo", "__hi", "__before", F.explode(inside).alias("__t"))
+        wanted = fixed(wanted.select(*names, F.col("__t.p").alias("__p"), F.col("__t.w").alias("__w"), F.col("__t.f").alias("__f"),
+                                     (F.col("__t.r") - F.col("__before")).alias("__r"), "__d", "__lo", "__hi"), "ranks")
+        found = wanted.where("__lo = __hi")
+        while shift:
+            left = wanted.where("__lo < __hi")
+            if left.isEmpty():
+                break
+            prefixes = left.select(*names, F.col("__d").alias("__x")).distinct()
+            prefixes = F.broadcast(prefixes) if few else prefixes
+            met = rows.withColumn("__x", F.shiftright("__k", shift)).alias("a").join(
+                prefixes.alias("b"), same("a", "b") & (F.col("a.__x") == F.col("b.__x")), "left_semi")
+            shift -= DIGIT
+            hist = counted(met, shift, ["__x"])
+            placed = hist.alias("h").join((F.broadcast(left) if few else left).alias("l"), same("h", "l") & (F.col("h.__x") == F.col("l.__d"))
+                                          & (F.col("l.__r") >= F.col("h.__before")) & (F.col("l.__r") < F.col("h.__before") + F.col("h.__n")))
+            wanted = fixed(placed.select(*[F.col(f"l.{n}").alias(n) for n in names], "l.__p", "l.__w", "l.__f",
+                                         (F.col("l.__r") - F.col("h.__before")).alias("__r"), "h.__d", "h.__lo", "h.__hi"), "ranks")
+            found = found.unionByName(wanted.where("__lo = __hi"))
+    finally:
+        delete_path(spark, keys)  # every pass has been run
     ends = found.groupBy(*names, "__p").agg(F.max(F.when(F.col("__w") == 0, F.col("__lo"))).alias("__a"),
                                             F.max(F.when(F.col("__w") == 1, F.col("__lo"))).alias("__b"), F.max("__f").alias("__f"))
     low, high = from_ordered_key(F.col("__a")), from_ordered_key(F.col("__b"))
