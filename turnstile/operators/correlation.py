@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.categories import sorted_levels, to_codes
-from .joins import broadcast_if_small
+from .joins import broadcast_if_small, stage_table
 from .ordered import row_number
 
 
@@ -87,8 +87,8 @@ def indicator_correlation(long: DataFrame) -> DataFrame:
     b = rows at the level with target 1:
     r = (n*b - a*t) / sqrt((n*a - a^2) * (n*t - t^2)); NULL for constants.
     """
-    per = long.groupBy("variable", "level").agg(F.count(F.lit(1)).alias("_a"),
-                                              F.sum("y").alias("_b"))
+    per = stage_table(long.groupBy("variable", "level").agg(F.count(F.lit(1)).alias("_a"),
+                                                          F.sum("y").alias("_b")), "indicator-counts")
     tot = per.groupBy("variable").agg(F.sum("_a").alias("_n"), F.sum("_b").alias("_t"))  # from the counts
     j = per.join(broadcast_if_small(tot), "variable")
     n, a, b, t = (F.col(c).cast("double") for c in ("_n", "_a", "_b", "_t"))

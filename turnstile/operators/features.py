@@ -133,11 +133,12 @@ def discretize_cuts(df: DataFrame, columns: Sequence[str], cuts: int = 4,
     Columns with fewer than ``min_unique * (cuts + 1)`` distinct values are
     not binned (no rows returned for them).
     """
-    from .ordered import exact_quantiles
-    from .profile import tall, value_counts
+    from .joins import stage_table
+    from .ordered import quantiles_from_counts
+    from .profile import value_counts
     probs = [i / cuts for i in range(cuts + 1)]
-    q = exact_quantiles(tall(df, columns, "double"), "value", probs, ["variable"], out="cut", groups_bounded=True)
-    counts = value_counts(df, columns).where(F.col("_v").isNotNull())
+    counts = stage_table(value_counts(df, columns).where(F.col("_v").isNotNull()), "value-counts")
+    q = quantiles_from_counts(counts, probs, ["variable"], out="cut", groups_bounded=True)
     nd = counts.groupBy("variable").agg(F.count(F.lit(1)).alias("_nd"))
     q = q.join(F.broadcast(nd), "variable").where(F.col("_nd") / F.lit(cuts + 1) >= min_unique)
     # at most cuts + 1 rows a variable
