@@ -28,8 +28,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .joins import stage_table
 from .models import p_yes
-from .ordered import average_rank, exact_quantiles
+from .ordered import average_rank, quantiles_from_counts
+from .profile import frequency_table, value_counts
 
 N_BINS = 4
 RIDGE_LAMBDA = 0.001
@@ -43,38 +45,33 @@ def fit_explainer(train: DataFrame, numeric: Sequence[str], categorical: Sequenc
     """``(feature, kind, bin, lower, upper, level, prob)``."""
     probs = [i / n_bins for i in range(n_bins + 1)]
     parts = []
+    by_feature = Window.partitionBy("feature")  # at most n_bins rows, or one row per level
     if numeric:
-        from .profile import tall
-        long = tall(train, numeric, "double").where(F.col("value").isNotNull())
-        q = exact_quantiles(long, "value", probs, ["variable"], out="cut").collect()
+        # every later step reads the counts of distinct values, not the rows
+        seen = stage_table(value_counts(train, numeric).where(F.col("_v").isNotNull()), "value-counts")
+        q = quantiles_from_counts(seen, probs, ["variable"], out="cut", groups_bounded=True).collect()
         cuts: dict[str, list[float]] = {}
         for r in sorted(q, key=lambda r: (r["variable"], r["prob"])):
             cuts.setdefault(r["variable"], []).append(r["cut"])
+        b, lower, upper = F.lit(None).cast("int"), F.lit(None).cast("double"), F.lit(None).cast("double")
         for f in numeric:
             c = sorted(set(cuts.get(f, [])))
             if len(c) < 2:
                 c = c * 2 if c else [0.0, 0.0]
-            x = F.col(f).cast("double")
-            b = F.lit(len(c) - 1)
-            for i in range(len(c) - 2, 0, -1):
-                b = F.when(x <= F.lit(c[i]), F.lit(i)).otherwise(b)
-            counts = train.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-            tot = F.sum("n").over(Window.partitionBy())  # at most n_bins rows
-            bounds = F.array(*[F.lit(v) for v in c])
-            parts.append(counts.select(
-                F.lit(f).alias("feature"), F.lit("numeric").alias("kind"), F.col("bin").cast("int").alias("bin"),
-                F.element_at(bounds, F.col("bin")).alias("lower"),
-                F.element_at(bounds, F.col("bin") + 1).alias("upper"),
-                F.lit(None).cast("string").alias("level"), (F.col("n") / tot).alias("prob")))
-    for f in categorical:
-        counts = train.where(F.col(f).isNotNull()).groupBy(F.col(f).cast("string").alias("level")) \
-            .agg(F.count(F.lit(1)).alias("n"))
-        w = Window.orderBy("level")  # one row per level (bounded by the category's levels)
+            own, bounds = F.col("feature") == f, F.array(*[F.lit(v) for v in c])
+            b = F.when(own, _bin_of(F.col("_v"), c)).otherwise(b)
+            lower = F.when(own, F.element_at(bounds, F.col("bin"))).otherwise(lower)
+            upper = F.when(own, F.element_at(bounds, F.col("bin") + 1)).otherwise(upper)
+        counts = seen.withColumnRenamed("variable", "feature").withColumn("bin", b).groupBy("feature", "bin").agg(F.sum("_c").alias("n"))
         parts.append(counts.select(
-            F.lit(f).alias("feature"), F.lit("categorical").alias("kind"),
-            F.row_number().over(w).cast("int").alias("bin"), F.lit(None).cast("double").alias("lower"),
-            F.lit(None).cast("double").alias("upper"), "level",
-            (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("prob")))
+            "feature", F.lit("numeric").alias("kind"), "bin", lower.alias("lower"), upper.alias("upper"),
+            F.lit(None).cast("string").alias("level"), (F.col("n") / F.sum("n").over(by_feature)).alias("prob")))
+    if categorical:
+        counts = frequency_table(train, categorical).select(F.col("variable").alias("feature"), F.col("value").alias("level"), "n")
+        parts.append(counts.select(
+            "feature", F.lit("categorical").alias("kind"), F.row_number().over(by_feature.orderBy("level")).alias("bin"),
+            F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"), "level",
+            (F.col("n") / F.sum("n").over(by_feature)).alias("prob")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
