@@ -163,3 +163,19 @@ def test_run(spark):
     docs = {r.doc_id for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
     assert {r.doc_id for r in found} <= docs and len({r.doc_id for r in found}) > 0.7 * len(docs)
     assert sorted({r.sequence_id for r in found}) == list(range(len({r.sequence_id for r in found})))
+
+
+def test_the_language_bar_comes_from_every_held_out_text(spark):
+    """More texts than any sample of them holds, most of them at the bar's place or below."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "".join(rng.choice(list("abcdefgh" if i % 2 else "stuvwxyz"), 90)) + ("!" * 30 if i % 7 else ""), "xy"[i % 2], "s", 1)
+            for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    net = langid.fit(docs, epochs=1)
+    held = [r.text for r in docs.where(langid.held_out()).collect()]
+    scores = np.sort(net.probabilities([t.encode() for t in held]).max(1))
+    want = min(langid.MAJORITY, scores[int((len(held) - 1) * langid.LOST)])
+    assert len(held) > 2 * langid.PER_LANGUAGE and abs(langid.bar(docs, net) - want) < 1e-5
+    # long ends count, and copies count once
+    more = docs.unionByName(docs.where("doc_id % 3 = 0"))
+    assert langid.bar(more, net) == langid.bar(docs, net)

@@ -11,8 +11,8 @@ a text alone decides whether and where it is sampled.
 
 ``named`` keeps the rows whose language the network can tell: a text of
 ``SURE_BYTES`` or more is let go when no language holds ``MAJORITY`` of its
-positions.  On a bounded sample of held-out rows that bar is lowered, if need
-be, until all but ``LOST`` of them pass.
+positions.  On all held-out texts that bar is lowered, if need be, until all
+but ``LOST`` of them pass.
 
 Defined results: a null text, and one without any letter, is ``und`` with
 score 0, and so is every text when there is nothing to learn from; rows
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import releasing
+from .workspace import Workspace, releasing
 
 HIDDEN = 6
 WINDOW = 128
@@ -301,12 +301,33 @@ def label(df: DataFrame, net: Network | None, text_col: str = "text", pred: str
     return df.mapInArrow(releasing(run), out)
 
 
-def bar(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        per_language: int = PER_LANGUAGE, folds: int = FOLDS, seed: int = SEED) -> float:
-    """The mean probability below which a text has no language that the network can tell."""
-    found = _snippets(_labelled(df, text_col, lang_col).where(held_out(id_col, folds)), text_col, lang_col, per_language, seed)
-    texts = [raw for parts in found.values() for raw in parts if len(raw) >= SURE_BYTES and has_letter(raw.decode("utf-8"))]
-    return min(MAJORITY, float(np.quantile(net.probabilities(texts).max(1), LOST, method="lower"))) if texts else 0.0
+def bar(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS) -> float:
+    """The mean probability below which a text has no language that the network can tell: every labelled text
+    outside the training fold is scored whole, each text once, and its place is counted off."""
+    spark = df.sparkSession
+    held = _labelled(df, text_col, lang_col).where(held_out(id_col, folds) & (F.octet_length(text_col) >= SURE_BYTES))
+    told = label(held.select(F.sha2(text_col, 256).alias("__key"), F.col(text_col)), net, text_col, "__lang", "__score")
+    work = Workspace(spark, "langid-bar")
+    # without a letter the score is zero
+    scores = work.put(told.where("__score > 0").groupBy("__key").agg(F.min("__score").alias("score")).select("score"), "scores")
+
+    def at(rows: DataFrame, value: Column, place: int) -> tuple[float, int]:
+        """The value at ``place``, and the place within its equals; a score has six decimals, so both tables have a thousand rows."""
+        for v, n in sorted(rows.groupBy(value.alias("v")).count().collect()):
+            if place < n:
+                break
+            place -= n
+        return v, place
+
+    try:
+        n = scores.count()
+        if not n:
+            return 0.0
+        thousandth = F.floor(F.col("score") * 1000)
+        part, place = at(scores, thousandth, int((n - 1) * LOST))
+        return min(MAJORITY, at(scores.where(thousandth == part), F.col("score"), place)[0])
+    finally:
+        work.drop("scores")
 
 
 def named(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
