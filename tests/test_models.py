@@ -146,3 +146,14 @@ def test_grid_is_fixed_by_the_rows_and_models_come_by_id(spark, tmp_path):
     assert sorted(map(str, md.predict(one.model(board[0][0]), test).collect())) == sorted(map(str, md.predict(again, test).collect()))
     with pytest.raises(KeyError):
         one.model("dl_grid_model_9")
+
+
+def test_training_rows_are_spread_by_their_number(spark, monkeypatch):
+    from turnstile.operators import models as md
+    one = spark.range(1000).withColumnRenamed("id", "EmployeeNumber").coalesce(1)
+    assert md.spread(one) is one
+    monkeypatch.setattr(md, "TASK_ROWS", 100)
+    parts = md.spread(one).withColumn("p", F.spark_partition_id())
+    assert parts.select("p").distinct().count() == 10 and parts.count() == 1000
+    monkeypatch.setattr(md, "MANY_TASKS", 4)
+    assert md.spread(one).rdd.getNumPartitions() == 4
