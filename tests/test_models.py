@@ -1,10 +1,13 @@
 """Models: deterministic split, planted-signal quality, leaderboard input check."""
 
 import math
+import threading
 
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -157,3 +160,48 @@ def test_training_rows_are_spread_by_their_number(spark, monkeypatch):
     assert parts.select("p").distinct().count() == 10 and parts.count() == 1000
     monkeypatch.setattr(md, "MANY_TASKS", 4)
     assert md.spread(one).rdd.getNumPartitions() == 4
+
+
+def _planted(spark):
+    """Rows with an id, two features, a label that they tell with noise, and a fold."""
+    rows = spark.range(600).select("id", (F.col("id") * 37 % 101 / 101).alias("a"), (F.col("id") * 53 % 89 / 89).alias("b"))
+    rows = rows.withColumn("label", (F.col("a") + F.col("id") * 71 % 97 / 97 > 1).cast("double"))
+    return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows).withColumn("fold", md.fold_of("id", 3)).cache()
+
+
+def test_cross_validation_agrees_with_mllib(spark):
+    rows, est = _planted(spark), LogisticRegression(maxIter=20)
+    grid = [{est.regParam: 0.0}, {est.regParam: 0.5}]
+    mllib = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=md.ranking("areaUnderROC"), numFolds=3,
+                           foldCol="fold", collectSubModels=True).fit(rows)
+    mine = md.cross_validate([(est, params) for params in grid], rows, 3, md.ranking("areaUnderROC"))
+    for g, (metric, of_folds, model) in enumerate(mine):
+        assert abs(metric - mllib.avgMetrics[g]) < 1e-9
+        for k in range(3):
+            assert abs(of_folds[k].coefficients.toArray() - mllib.subModels[k][g].coefficients.toArray()).max() < 1e-9
+        assert abs(model.coefficients.toArray() - est.fit(rows, grid[g]).coefficients.toArray()).max() < 1e-9
+
+
+def test_folds_need_rows_and_rows_a_fold(spark):
+    est, rows = LogisticRegression(maxIter=5), _planted(spark)
+    for bad in (rows.where("fold != 1"), rows.withColumn("fold", F.when(F.col("id") > 5, F.col("fold")))):
+        with pytest.raises(ValueError):
+            md.cross_validate([(est, {})], bad, 3, md.ranking("areaUnderROC"))
+
+
+def test_trainings_of_all_points_and_folds_run_at_once(spark):
+    together = threading.Barrier(8, timeout=60)
+
+    class Waiting:
+        def fit(self, rows, params):
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "Python" not in plan
+            together.wait()  # passes when eight trainings are under way
+            return LogisticRegression(maxIter=5).fit(rows)
+
+    found = md.cross_validate([(Waiting(), {}), (Waiting(), {})], _planted(spark), 3, md.ranking("areaUnderROC"), at_once=8)
+    assert len(found) == 2 and all(len(of_folds) == 3 and model is not None for _, of_folds, model in found)
+
+
+def test_side_by_side_keeps_order(spark):
+    assert md.side_by_side(lambda n: spark.range(n).count(), [5, 0, 3, 9], 3) == [5, 0, 3, 9] and md.side_by_side(str, []) == []
