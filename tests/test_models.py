@@ -205,3 +205,44 @@ def test_trainings_of_all_points_and_folds_run_at_once(spark):
 
 def test_side_by_side_keeps_order(spark):
     assert md.side_by_side(lambda n: spark.range(n).count(), [5, 0, 3, 9], 3) == [5, 0, 3, 9] and md.side_by_side(str, []) == []
+
+
+def test_training_plans_begin_at_written_rows(spark):
+    rows = spark.range(1000).repartition(5, "id").sortWithinPartitions("id").withColumn("p", F.spark_partition_id())
+    held = md.kept(rows)
+    plan = held._jdf.queryExecution().logical().toString()
+    assert "LogicalRDD" in plan and "Repartition" not in plan and held.is_cached
+    assert held.rdd.glom().collect() == rows.rdd.glom().collect()
+
+
+def test_auc_from_counts_agrees_with_mllib(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.functions import array_to_vector
+    rows = spark.range(3000).select((F.col("id") * 7919 % 613 / 613).alias("p"), (F.col("id") * 31 % 97 > 60).cast("double").alias("label"))
+    rows = rows.select(array_to_vector(F.array(1 - F.col("p"), "p")).alias("probability"), "p", "label")
+    mllib = BinaryClassificationEvaluator(rawPredictionCol="probability", numBins=0)
+    for some in (rows, rows.where("label = 1 OR p > 0.4"), rows.where("label = 0"), rows.where("label = 1"), rows.where("p < 0.001")):
+        assert abs(md.ranking("areaUnderROC").evaluate(some) - mllib.evaluate(some)) < 1e-12
+    scores = [(r["p"], r["label"]) for r in rows.collect()]
+    assert abs(md.ranking("areaUnderROC").evaluate(rows) - auc([t for _, t in scores], [q for q, _ in scores])) < 1e-12
+
+
+def test_a_perceptron_that_ended_stands_for_smaller_limits(spark, monkeypatch):
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    rows, est = _planted(spark), MultilayerPerceptronClassifier(layers=[2, 2, 2], seed=3, tol=1e-3)
+    grid = [{est.maxIter: n} for n in (2, 400, 600)]
+    fit, limits = MultilayerPerceptronClassifier._fit, []
+
+    def noted(self, dataset):
+        limits.append(self.getMaxIter())
+        return fit(self, dataset)
+
+    monkeypatch.setattr(MultilayerPerceptronClassifier, "_fit", noted)
+    mine = md.cross_validate([(est, params) for params in grid], rows, 3, md.ranking("areaUnderROC"), refit=False)
+    assert sorted(limits) == [2] * 3 + [600] * 3  # 400 is not reached
+    for (metric, of_folds, _), params in zip(mine, grid):
+        alone = [est.fit(rows.where(F.col("fold") != k), params) for k in range(3)]
+        assert [m.weights.toArray().tolist() for m in of_folds] == [m.weights.toArray().tolist() for m in alone]
+        assert [m.getMaxIter() for m in of_folds] == [params[est.maxIter]] * 3
+        scores = [md.ranking("areaUnderROC").evaluate(m.transform(rows.where(F.col("fold") == k))) for k, m in enumerate(alone)]
+        assert abs(metric - sum(scores) / 3) < 1e-12
