@@ -246,3 +246,34 @@ def test_a_perceptron_that_ended_stands_for_smaller_limits(spark, monkeypatch):
         assert [m.getMaxIter() for m in of_folds] == [params[est.maxIter]] * 3
         scores = [md.ranking("areaUnderROC").evaluate(m.transform(rows.where(F.col("fold") == k))) for k, m in enumerate(alone)]
         assert abs(metric - sum(scores) / 3) < 1e-12
+
+
+def test_areas_of_many_keys_come_from_one_pass(spark):
+    rows = spark.range(4000).select((F.col("id") % 5).cast("int").alias("key"), (F.col("id") * 7919 % 613 / 613).alias("score"),
+                                    (F.col("id") * 31 % 97 > 60).cast("double").alias("label"))
+    rows = rows.where("key != 3 OR label = 1").where("key != 4").repartition(7)
+    found = md.areas_under_roc(rows, 5)
+    for k in range(3):
+        some = rows.where(F.col("key") == k).collect()
+        assert abs(found[k] - auc([r["label"] for r in some], [r["score"] for r in some])) < 1e-12
+    assert found[3:] == [1.0, 0.5]  # one class, no rows
+
+
+def test_fold_areas_agree_with_the_evaluator(spark):
+    rows, est, evaluator = _planted(spark), LogisticRegression(maxIter=20), md.ranking("areaUnderROC")
+    fits = md.cross_validate([(est, {est.regParam: v}) for v in (0.0, 0.5)], rows, 3, None, refit=False)
+    assert [metric for metric, _, _ in fits] == [None, None]
+    held_out = md._out_of_fold(rows, [[(str(i), of_folds[k]) for i, (_, of_folds, _) in enumerate(fits)] for k in range(3)])
+    assert held_out.count() == rows.count()
+    for (_, of_folds, _), areas in zip(fits, md.fold_areas(held_out, 2, 3)):
+        assert areas == [evaluator.evaluate(m.transform(rows.where(F.col("fold") == k))) for k, m in enumerate(of_folds)]
+
+
+def test_the_board_is_scored_in_one_pass(spark, trained, monkeypatch):
+    train, test, _ = trained
+    seen, alone = [], md.AreaUnderROC._evaluate
+    monkeypatch.setattr(md.AreaUnderROC, "_evaluate", lambda self, rows: seen.append(1) or alone(self, rows))
+    monkeypatch.setattr(md, "families", lambda n, seed: [("GLM", est := LogisticRegression(maxIter=5), [{est.regParam: v} for v in (0.0, 0.1)])])
+    board = md.automl(train, test, folds=2).leaderboard
+    assert len(seen) == board.count() == 3  # on the leaderboard's frame alone: not per fold, nor again on the training rows
+    assert board.where("train_auc IS NULL").isEmpty() and board.where("cv_auc IS NOT NULL").count() == 2
